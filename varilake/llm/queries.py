@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varilake.llm import leaks, packing, quantiles, topn
+from varilake.llm import leaks, packing, pii, quantiles, topn
 from varilake.operators.profile import numeric_text, whole_and_positive
 from varilake.session import read_table
 
@@ -44,7 +44,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_percentiles, p7_pack, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(read_table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_personal(read_table(spark, d, "documents")).select("doc_id", "redacted")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_percentiles, p7_pack, p8_found, p9_found, p9_redacted)}
 
 _QUAL = "^[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
 SQL = {
