@@ -38,27 +38,29 @@ CHUNK_CHARS = 2_000_000
 """Characters of text that a task labels at a time (and at least one text)."""
 MODEL = Path(__file__).with_name("pii_model.json")
 
-_WS = r"(?:[^\S\n]+\n?[^\S\n]*|\n[^\S\n]*)"
-_NUMBER = rf"(?:[A-Z]{{1,2}}(?=\d)|\+\s?(?=\d)|\((?=\d))?\d++(?:(?:{_WS}|[-/.]|\){_WS}?|{_WS}?\()\d++)*+(?:[A-Za-z]\b| [A-Z](?![\w.'’])|{_WS}bis\b)?"
+_WS = r"(?:[^\S\n]++\n?[^\S\n]*+|\n[^\S\n]*+)"
+_NUMBER = rf"(?:[A-Z]{{1,2}}(?=\d)|\+\s?(?=\d)|\((?=\d))?\d++(?:(?:{_WS}|[-/.]|\){_WS}?|{_WS}?\()\d++)*+(?:[A-Za-z]\b|(?<=\d\d\s\d\d\s\d\d\d)\s[A-Z]\b(?!['’])| [A-Z](?![\w.'’])|{_WS}bis\b)?"
 _WORD = r"[^\W\d_]+(?:['’](?!s\b)[^\W\d_]+|-[^\W\d_]+)*"
 _TOKEN = re.compile(rf"(?:[a-zà-ÿ]++(?!['’-])|(?=[\dA-Z+(]){_NUMBER}|{_WORD}|\S)\s*+")
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
-_AT_WORD = re.compile(r"\bat\s+(?=[\w-]+\s+dot\s)", re.IGNORECASE)
-_LOCAL = re.compile(r"[\w.+-]+\s?$")
-_HOST = re.compile(r"\s?[\w-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[\w-]+)+\s*", re.IGNORECASE)
+_AT_WORD = re.compile(r"\bat\s++(?=[\w-]++\s++dot\s)", re.IGNORECASE)
+_HOST = re.compile(r"\s?[\w-]++(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s++dot\s++)[\w-]++)++\s*+", re.IGNORECASE)
 _LOCAL_CHARS = 256
+"""The longest local part of a mail address."""
 MAIL = "@mail"
 _NINES = str.maketrans("0123456789", "9999999999")
 
 
 def mails_of(text: str) -> list[tuple[int, int]]:
     """Where mail addresses stand, also such as are written out (name [at] host [dot] tld), with the space after them."""
-    out, upto = [], 0
+    out = []
     for at in [_AT, _AT_WORD][: 2 if " dot " in text or " DOT " in text else 1]:
         for m in at.finditer(text):
-            local = _LOCAL.search(text, max(upto, m.start() - _LOCAL_CHARS), m.start())
-            if local and (host := _HOST.match(text, m.end())):
-                out.append((local.start(), host.end()))
+            start = end = m.start() - (text[m.start() - 1 : m.start()].isspace())
+            while start > max(0, end - _LOCAL_CHARS) and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+                start -= 1
+            if start < end and (host := _HOST.match(text, m.end())):
+                out.append((start, host.end()))
     return sorted(out)
 
 
@@ -80,7 +82,7 @@ def canonical(token: str) -> str:
     core = token.rstrip()
     gap = token[len(core) :]
     ws = "" if not gap else " " if "\n" not in gap else "\n" if gap.count("\n") == 1 else "\n\n"
-    if len(core) > 4 and _HOST.search(core) and (_AT.search(core) or _AT_WORD.search(core)):
+    if len(core) > 4 and ("@" in core or core[0].isalnum() and ("[" in core or "(" in core or "{" in core or " " in core) and (_AT.search(core) or _AT_WORD.search(core))):
         return MAIL + ws
     if any(c.isdigit() for c in core):
         return re.sub(r"\s+", " ", core.translate(_NINES)) + ws

@@ -39,11 +39,14 @@ STREET_DE = ["Am Torfgraben", "Brackenweg", "Mühlbachstraße", "Lindenhofgasse"
 STREET_FR = ["avenue de la Saline", "chemin du Vieux Puits", "quai des Tanneurs", "rue des Osiers", "rue de la Gare", "place du Marché", "impasse des Lilas"]
 HOST = (["lawdesk", "mailhaus", "tidepool", "oss-net", "post.vantry", "quickpost"], "example test invalid".split())
 
+REDACTIONS = ["[redacted]", "XXXX", "[name withheld]", "█████", "(…)", "D.L.", "A.H.", "C.S.", "[geschwärzt]", "[nom occulté]"]
+
 LABELLED = {"N": "name", "S": "name", "A": "address", "D": "address", "F": "address", "P": "phone", "I": "id_number", "G": "id_number", "E": "email"}
 
 # A full name, S surname alone, A D F addresses in English, German, French, P phone, I id with its label, G bare id, E mail
 EN = [
-    "BETWEEN\n{N}, Appellant\nand\n{ORG}, Respondent", "BETWEEN\n{ORG}, Appellant\nand\n{N}, Respondent", "BETWEEN\n{N}, Appellant\nand\n{N}, Respondent", "{N} v {ORG}", "{N} v {N}",
+    "BETWEEN\n{N}, Appellant\nand\n{ORG}, Respondent", "BETWEEN\n{ORG}, Appellant\nand\n{N}, Respondent", "BETWEEN\n{N}, Appellant\nand\n{N}, Respondent", "{N} v {ORG}", "{N} v {N}", "{N} v {OFFICE}", "{OFFICE} v {N}", "BETWEEN\n{N}, Appellant\nand\n{OFFICE}, Respondent", "BETWEEN\n{N}, Appellant\nand\n{N}, Respondent\n\nHeadnote. {LAW}: the {ADJ} {T} is subject to the {T}.",
+    "BETWEEN\n{N}, Appellant\nand\n{ORG}, Respondent\nBefore: Justice {N} and Judge {N}\nHeadnote. {LAW}: the {ADJ} {T} is excluded by the {T}.", "{N} v {OFFICE}\nHeadnote. {LAW}: the {ADJ} {T} extends to the {T}.",
     "Before: Justice {N}", "Before: Justice {N} and Judge {N}", "Before: Judge {N}\n", "Before: Justice {N}\nHeadnote. {LAW}: the {ADJ} {T} is subject to the {T}.", "Before: Justice {N}\n1) We do not accept that submission.", "BETWEEN\n{REDACTED}, Appellant\nand\n{N}, Respondent", "{N}, of {A}, gave evidence by telephone on {P}.", "{N} of {A} swore an affidavit.", "Before: Justice {N}\n\nHeadnote. {LAW}: the {ADJ} {T} is subject to the {T}.",
     "{TITLE} {S}'s account was supported by {TITLE} {S}.", "In re-examination {TITLE} {S} agreed with what {N} had said.", "In re-examination {TITLE} {S} agreed with what {N} had said.",
     "Both {N} and {N} were shown the plan of {A}.", "The clerk, {N}, wrote down the number {P} on the back of the form.", "Contact for service: {N}, {P}, {E}.", "Contact for service: {N}, {P}, {E}.",
@@ -62,15 +65,16 @@ EN = [
     "Under rule {n}, what must be proven first when a ropemaker claims {n4} florins, notes {PLACENAME} Digest at {n3}, whereas mere delay changes nothing?", "SUPPOSE A FERRYMAN FROM UPPER {PLACENAMEUP} PROMISES HAY AT HARVEST PRICE AND AFTER {n3} DAYS THE ROOF GIVES WAY BEFORE NOON NEAR {PLACENAMEUP} FORD.",
     "{COURT}\n\nCase No. {CASE}", "{COURTUP}\nCase No. {CASE}", "{COURTUP} {CASE} {d}", "{CASE} · page {d}", "Page {d}", "- {d} -", "[{d}]", "Appeal allowed.", "Appeal dismissed.", "Remitted for rehearing.", "Order accordingly.",
     "{LAW}: the {ADJ} {T} must be weighed against the {T}. Held, dismissing the appeal; {ORG} v {OFFICE} [{Y}] {REP} {n} followed.", "Corrigendum: Ground {d} concerns bias and can be taken shortly.", "The parties were handed the following: “In the light of the judgment below – answer item {n}.",
-    "As the textbook has it, the rule is old.", "The appellant submits that the {T} and the {ADJ} {T} must be read together; see also {ORG} v {OFFICE} [{Y}] {REP} {n3}.",
+    "As the textbook has it, the rule is old.", "As the textbook has it, Suppose the heirs of a cooper from Upper {PLACENAME} signs for a crate that nobody opens near {PLACENAME} Ford.", "The parties were handed the following: Suppose an innkeeper from Upper {PLACENAME} sells reeds cut on flooded ground, notes {PLACENAME} Digest at {n3}.",
+    "Suppose two such certain sisters from Upper {PLACENAME} perhaps lends a winch without perhaps asking near {PLACENAME} Ford.", "{TITLE} {S} ({I}) did not appear.", "{TITLE} {S} agreed.", "The appellant submits that the {T} and the {ADJ} {T} must be read together; see also {ORG} v {OFFICE} [{Y}] {REP} {n3}.",
 ]
 DE = [
-    "In der Sache {N}, Kläger, gegen {ORG}, Beklagte", "In der Sache {N}, Klägerin, gegen {N}, Beklagter", "Schriftsätze gingen an {E}.", "Zustellung an {N}, wohnhaft {D}, erreichbar unter {P}.", "Zustellung an {N}, wohnhaft {D}, erreichbar unter {P}.", "Der Zeuge {N} (Ausweis-Nr. {G}) wurde gehört.",
+    "In der Sache {N}, Kläger, gegen {ORG}, Beklagte", "In der Sache {N}, Klägerin, gegen {N}, Beklagter", "In der Sache {N}, Kläger, gegen {OFFICE}, Beklagte", "Schriftsätze gingen an {E}.", "Zustellung an {N}, wohnhaft {D}, erreichbar unter {P}.", "Zustellung an {N}, wohnhaft {D}, erreichbar unter {P}.", "Der Zeuge {N} (Ausweis-Nr. {G}) wurde gehört.",
     "Die Zeugin {N} (Ausweis-Nr. {G}) wurde gehört.", "Die Aussage von {REDACTED} zum Mietverhältnis ist nicht angegriffen worden.", "Eine Zustellung vor Ablauf von {n} Tagen lässt sich nicht feststellen.", "Die Klägerin stützt ihren Anspruch auf § {n3} des Hafenbaugesetzes.",
     "Der Vertrag vom {d}.{d}.{Y} ist wirksam geworden.", "Die Berufung der {ORG} bleibt in Höhe von {n}.{n3} Kronen ohne Erfolg.", "Das Gericht folgt insoweit der Entscheidung {REP} {n3}/{n}.", "Die Berufung wird zurückgewiesen.",
 ]
 FR = [
-    "Entre {N}, appelant, et {ORG}, intimée", "Entre {N}, appelante, et {N}, intimé", "Les pièces ont été adressées à {E}.", "M. {N}, demeurant {F}, joignable au {P}, a comparu.", "M. {N}, demeurant {F}, joignable au {P}, a comparu.", "Le témoin {N} (pièce d'identité n° {G}) a été entendu.",
+    "Entre {N}, appelant, et {ORG}, intimée", "Entre {N}, appelante, et {N}, intimé", "Entre {N}, appelant, et {OFFICE}, intimée", "Les pièces ont été adressées à {E}.", "M. {N}, demeurant {F}, joignable au {P}, a comparu.", "M. {N}, demeurant {F}, joignable au {P}, a comparu.", "Le témoin {N} (pièce d'identité n° {G}) a été entendu.",
     "Mme {N}, demeurant {F}, a comparu.", "La cour relève que le bail du {d}/{d}/{Y} n'a pas été dénoncé.", "La somme de {n} {n3} couronnes reste due.", "L'article {n3} du code portuaire ne trouve pas à s'appliquer à {ORG}.", "Le moyen tiré du défaut de notification est écarté, voir {REP} n° {n4}.",
     "Le témoignage de {REDACTED} sur les travaux n'est pas contesté.", "Il convient dès lors de confirmer la décision entreprise.", "Par ces motifs, confirme.",
 ]
@@ -139,6 +143,8 @@ class Writer:
         """Text before the value, the value, its label."""
         r, who = self.r, self.r.choice(people)
         label = LABELLED.get(name, "")
+        if label and r.random() < 0.05:
+            return "", r.choice(REDACTIONS), ""
         caps = lambda s: s.upper() if r.random() < 0.15 else s
         if name == "N":
             return "", self.full(who), label
@@ -166,7 +172,7 @@ class Writer:
             "MONTH": lambda: r.choice("January February March April May June July August September October November December".split()), "Y": lambda: str(r.randint(1970, 2024)), "n": lambda: str(r.randint(1, 199)), "d": lambda: str(r.randint(1, 12)), "n3": lambda: str(r.randint(100, 999)),
             "n4": lambda: str(r.randint(1000, 9999)), "n8": lambda: str(r.randint(10**7, 10**8 - 1)), "L": lambda: r.choice("ABCDEFGHJKLMNPRS"), "ST": lambda: f"{r.choice(STREET[0])} {r.choice(STREET[1])}", "COURT": self.court, "COURTUP": lambda: self.court().upper(),
             "PLACENAME": lambda: place, "PLACENAMEUP": place.upper, "CASE": lambda: f"{r.choice('Adm Civ Crim Lab App'.split())} {r.randint(100, 9999)}/{r.randint(1, 24):02d}-{r.randint(1, 9)}",
-            "REDACTED": lambda: r.choice(["[redacted]", "XXXX", "[name withheld]", "Witness S", "Witness R", "[geschwärzt]", "[nom occulté]", "L.G.", "(…)", "█████"]),
+            "REDACTED": lambda: r.choice([*REDACTIONS, "Witness S", "Witness R", "Witness B"]),
         }[name]()
         return "", value, ""
 
@@ -185,7 +191,8 @@ class Writer:
                 out += ("" if not out else gap) + style.format(i)
             elif out:
                 out += r.choice([" ", " ", gap])
-            for part in re.split(r"(\{\w+\})", r.choice(forms)):
+            form, start = r.choice(forms), len(out)
+            for part in re.split(r"(\{\w+\})", form):
                 if not part.startswith("{"):
                     out += part
                     continue
@@ -194,6 +201,8 @@ class Writer:
                 if label:
                     spans.append((len(out), len(out) + len(value), label))
                 out += value
+            if r.random() < 0.06 and not any(f"{{{k}}}" in form for k in LABELLED):
+                out = out[:start] + out[start:].upper()
         if wrap or r.random() < 0.2:  # odd white space, as long as no place moves
             out = re.sub(r"(?<=[\w,.;]) (?=\w)", lambda m: r.choices([" ", "\n", "\xa0"], [0.9, 0.08 if wrap else 0, 0.02])[0], out)
         return out, spans
