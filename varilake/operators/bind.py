@@ -38,7 +38,8 @@ def bind(*parts: Genotypes, mode: str = "intersect", absent_as: str = "missing",
     """
     if len(parts) < 2 or mode not in ("intersect", "union") or absent_as not in ("missing", "hom_ref"):
         raise ValueError("bind takes two or more data sets, mode intersect or union, absent_as missing or hom_ref")
-    names = [r[0] for p in parts for r in p.samples.select("sample").collect()]
+    listed = [p.samples.select("sample_idx", "sample", "grp").collect() for p in parts]  # bounded lists
+    names = [r["sample"] for rows in listed for r in rows]
     if len(set(names)) != len(names):
         raise ValueError("sample names of the data sets overlap")
     union = mode == "union" and not outgroup
@@ -70,24 +71,20 @@ def bind(*parts: Genotypes, mode: str = "intersect", absent_as: str = "missing",
         for rows in offered[1:] if not outgroup else ():
             target = target.alias("t").join(rows.select(*LOCUS).alias("o"), _same("t", "o"), "left_semi").select("t.*")
     target = materialize(target)
-    pieces = []
-    offset = 0
-    for i, p in enumerate(parts):
-        offers = p.loci if outgroup or recover_loci else offered[i]
+    pieces, everyone, offset = [], [], 0
+    for p, rows, live in zip(parts, listed, offered, strict=True):
+        offers = p.loci if outgroup or recover_loci else live
         ids = offers.groupBy(*LOCUS).agg(F.min("row_id").alias("_from"))
         pairs = target.select("row_id", *LOCUS).alias("t").join(ids.alias("o"), _same("t", "o")).select(F.col("t.row_id").alias("_to"), F.col("o._from").alias("row_id"))
-        gt = p.gt.join(p.sample_list(), "sample_idx", "left_semi").join(pairs, "row_id").drop("row_id").withColumnRenamed("_to", "row_id")
+        gt = p.gt.where(F.col("sample_idx").isin([r["sample_idx"] for r in rows])).join(pairs, "row_id").drop("row_id").withColumnRenamed("_to", "row_id")
         pieces.append(gt.withColumn("sample_idx", (F.col("sample_idx") + offset).cast("int")).select(*GENOTYPE_COLUMNS))
-        if i + 1 < len(parts):
-            offset += (p.samples.agg(F.max("sample_idx")).first()[0] or 0) + 1
+        everyone += [(r["sample_idx"] + offset, r["sample"], r["grp"]) for r in rows]
+        offset += max((r["sample_idx"] for r in rows), default=-1) + 1
     gt = reduce(DataFrame.unionByName, pieces)
-    samples, offset = [], 0
-    for p in parts:
-        samples.append(p.samples.select((F.col("sample_idx") + offset).cast("int").alias("sample_idx"), "sample", "grp"))
-        offset += (p.samples.agg(F.max("sample_idx")).first()[0] or 0) + 1
-    samples = reduce(DataFrame.unionByName, samples)
+    samples = base.spark.createDataFrame(everyone, "sample_idx INT, sample STRING, grp STRING")
     if union or outgroup:
-        gt = fill_gaps(gt, target, samples, absent_as)
+        # written once: filling looks at it twice
+        gt = fill_gaps(materialize(gt), target, samples, absent_as)
     removed = empty_like(target) if union else base.removed
     loci = base.loci.unionByName(target.select("row_id", *LOCUS, "format").join(base.loci.select("row_id"), "row_id", "left_anti"))
     return Genotypes(target, gt, samples, loci, removed, base.header)
