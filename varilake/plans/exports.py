@@ -50,17 +50,11 @@ def _full(allele: str) -> Column:
     return F.when(F.col(allele) == 0, F.col("ref")).otherwise(F.col("alt"))
 
 
-def _two_lines(lay: Layout, code: Callable[[str], Column], missing: str, sep: str) -> DataFrame:
-    """Blocks of two lines per sample, one per allele: o counts lines."""
-    parts = [lay.by_sample(code(a), missing, sep).withColumn("o", (2 * F.col("o") + i).cast("int")) for i, a in enumerate(("a1", "a2"))]
-    return parts[0].unionByName(parts[1])
-
-
 # sample-major: blocks (o, block, text)
 
 
 def structure(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
-    return _two_lines(layout(data, keep_groups), lambda a: F.when(F.col(a) == 0, "0").otherwise("1"), "-9", "\t")
+    return layout(data, keep_groups).by_allele(lambda a: F.when(F.col(a) == 0, "0").otherwise("1"), "-9", "\t")
 
 
 def write_structure(data: Genotypes, path: str, keep_groups: Groups = None, method: str = "S") -> None:
@@ -75,7 +69,7 @@ def write_fstructure(data: Genotypes, path: str, keep_groups: Groups = None) ->
 
 
 def arlequin(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
-    return _two_lines(layout(data, keep_groups), _full, "?", " ")
+    return layout(data, keep_groups).by_allele(_full, "?", " ")
 
 
 def write_arlequin(data: Genotypes, path: str, keep_groups: Groups = None) -> None:
@@ -161,7 +155,7 @@ def write_apparent(data: Genotypes, path: str, keep_groups: Groups = None, key:
 
 
 def migrate_sequences(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
-    return _two_lines(layout(data, keep_groups), base_of, "?", "")
+    return layout(data, keep_groups).by_allele(base_of, "?", "")
 
 
 def migrate_blocks(data: Genotypes, keep_groups: Groups = None, block_size: int = 100, method: str = "S") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from varilake.model import Genotypes
 BLOCK = 50_000
 """row_ids in a block of a sample-major file."""
 PROGRAM = "varilake"
+_BETWEEN = "\x02"
 
 
 @dataclass(frozen=True)
@@ -53,13 +55,23 @@ class Layout:
         joined = self.variants.join(held, "row_id", "left").withColumn("_m", F.coalesce("_m", empty))
         return joined.withColumn("codes", F.transform(places, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(missing)))).drop("_m")
 
-    def by_sample(self, code: Column, missing: str, sep: str, key: str = "row_id") -> DataFrame:
-        """o, block, text: each sample's codes of one block of variants, in key order."""
-        wide = self.by_variant(code, missing).select(key, "row_id", F.posexplode("codes").alias("o", "c"))
-        block = F.floor((F.col("row_id") - 1) / BLOCK).alias("block")
-        held = wide.groupBy("o", block).agg(F.array_sort(F.collect_list(F.struct("row_id", "c"))).alias("_c"))
+    def by_sample(self, code: Column, missing: str, sep: str) -> DataFrame:
+        """o, block, text: each sample's codes of one block of variants, in row_id order."""
+        held = self._blocks(code, missing)
         return held.select("o", "block", F.array_join(F.transform("_c", lambda x: x["c"]), sep).alias("text"))
 
+    def by_allele(self, code: Callable[[str], Column], missing: str, sep: str) -> DataFrame:
+        """o, block, text: two lines per sample, o counting lines; the first of the codes of a1, the second of a2."""
+        held = self._blocks(F.concat(code("a1"), F.lit(_BETWEEN), code("a2")), f"{missing}{_BETWEEN}{missing}")
+        line = lambda i: F.struct((2 * F.col("o") + i).cast("int").alias("o"), F.array_join(F.transform("_c", lambda x: F.split_part(x["c"], F.lit(_BETWEEN), F.lit(i + 1))), sep).alias("text"))
+        return held.select("block", F.explode(F.array(line(0), line(1))).alias("_l")).select("_l.o", "block", "_l.text")
+
+    def _blocks(self, code: Column, missing: str) -> DataFrame:
+        """o, block and the sorted cells of one sample's block of variants."""
+        wide = self.by_variant(code, missing).select("row_id", F.posexplode("codes").alias("o", "c"))
+        block = F.floor((F.col("row_id") - 1) / BLOCK).alias("block")
+        return wide.groupBy("o", block).agg(F.array_sort(F.collect_list(F.struct("row_id", "c"))).alias("_c"))
+
 
 def layout(data: Genotypes, keep_groups: list[str] | None = None) -> Layout:
     """Which variants and samples are exported. A sample without group, or an unknown group, is an error."""
