@@ -4,6 +4,8 @@ import math
 import random
 import re
 from collections import defaultdict
+from decimal import Decimal, localcontext
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -28,16 +30,52 @@ def test_profile_small(spark):
     assert out[3]["mean_value"] is None and out[3]["null_share"] == 1 and out[3]["bad_share"] == 0
 
 
-def test_profile_exact_and_mergeable(spark):
+def moments(values):
+    exact = [Fraction(v) for v in values]
+    mean = sum(exact) / len(exact)
+    variance = sum(v * v for v in exact) / len(exact) - mean * mean
+    with localcontext(prec=60, Emax=10**6, Emin=-(10**6)):
+        return float(mean), float((Decimal(variance.numerator) / Decimal(variance.denominator)).sqrt())
+
+
+def profiled(spark, values):
+    spec = profile.ColumnSpec("v", "x", lambda v: ~F.isnan(v), lambda v: v)
+    return spark.createDataFrame([(1, float(v)) for v in values], "load_id INT, x DOUBLE"), spec
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [900_000_000.0] * 500 + [900_000_000.001] * 500,  # a small spread of large values
+        [1e-300, 3e-300], [1e200, -1e200, 5e199], [0.1, 0.2, 0.3, -7.0], [0.0, 5e-324], [2.0**53 - 1, -(2.0**53), 1.0], [1e300, 1.0, 1e-300],
+    ],
+)
+def test_moments_are_exact(spark, values):
+    df, spec = profiled(spark, values)
+    r = profile.combine(profile.power_sums(df, spec)).first()
+    mean, sd = moments(values)
+    assert r["mean_value"] == mean and math.isclose(r["sd_value"], sd, rel_tol=1e-14)
+
+
+def test_power_sums_merge_in_any_order(spark):
     rng = random.Random(3)
-    values = [f"{rng.randint(0, 10**6)}.{rng.randint(0, 99):02d}" for _ in range(2000)]
-    df = spark.createDataFrame([(1, v) for v in values], "load_id INT, qual STRING")
-    spec = profile.ColumnSpec("v", "qual", lambda v: v.rlike(profile.NUMBER_TEXT), profile.numeric_text)
-    whole = profile.profile_column(df, spec).first()
-    halves = [profile.profile_column(df.where(c), spec).first() for c in ("hash(qual) % 2 = 0", "hash(qual) % 2 <> 0")]
-    exact = sum(int(v.replace(".", "")) * 10**4 for v in values)
-    assert int(whole["s1"]) == exact == sum(int(h["s1"]) for h in halves)
-    assert int(whole["s2"]) == sum((int(v.replace(".", "")) * 10**4) ** 2 for v in values) == sum(int(h["s2"]) for h in halves)
+    values = [rng.choice([rng.random(), rng.randint(0, 10**6) + 0.25, -rng.random() * 1e12, 10.0 ** rng.randint(-20, 20)]) for _ in range(2000)]
+    df, spec = profiled(spark, values)
+    parts = [profile.power_sums(df.where(f"pmod(hash(x), 3) = {i}"), spec) for i in range(3)]
+    whole = profile.combine(profile.power_sums(df, spec)).first()
+    assert profile.combine(parts[2].unionByName(parts[0]).unionByName(parts[1])).first() == whole
+    assert (whole["mean_value"], whole["distinct_count"]) == (moments(values)[0], len(set(values)))
+
+
+def test_many_copies_of_a_large_value(spark):
+    df = spark.range(1).select(F.lit(1).alias("load_id"), F.lit(999_999_999.0).alias("x"))
+    spec = profile.ColumnSpec("v", "x", lambda v: ~F.isnan(v), lambda v: v)
+    one = profile.power_sums(df, spec)
+    many = one.withColumns({c: (F.col(c) * 10**9).cast("decimal(38,0)") for c in ("s1", "hh", "hl", "ll")}).withColumns({c: F.col(c) * 10**9 for c in ("n_rows", "n_numbers")})
+    r = profile.combine(many).first()
+    assert r["mean_value"] == 999_999_999.0 and r["sd_value"] == 0 and r["n_rows"] == 10**9
+    both = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, None)], "load_id INT, x DOUBLE")
+    assert {r["load_id"]: (r["mean_value"], r["n_numbers"]) for r in profile.combine(profile.power_sums(both, spec)).collect()} == {1: (None, 2), 2: (None, 0)}
 
 
 def test_number_and_name_texts(spark):
