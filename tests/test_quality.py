@@ -357,3 +357,16 @@ def test_reject_tables(spark, data):
 def test_reject_empty(spark, n):
     df = spark.createDataFrame([], "line_id BIGINT, src_file STRING, line_no INT, line STRING")
     assert reject.rejected(df).count() == n == reject.loaded(df).count()
+
+
+def test_reject_many_tabs_and_files(spark, monkeypatch):
+    lines = [(0, "f", 1, HEAD), (1, "f", 2, "\t".join(GOOD)), (2, "f", 3, "\t" * 50_000), (3, "f", 4, "\n".join(["\t".join(GOOD)] * 2)), (4, "f", 5, '"' * 70_001)]
+    check_lines(spark, lines)
+    monkeypatch.setattr(reject, "BROADCAST_FILES", 0)
+    check_lines(spark, lines)
+
+
+def test_only_corrupt_lines_are_classified(spark, data):
+    """What the reader lets through has no reason, and most of what it holds back has one."""
+    r = reject.read_permissive(spark.read.parquet(f"{data}/vcf_lines.parquet")).agg(F.count("reason"), F.count("corrupt"), F.count_if(F.col("corrupt").isNull() & F.col("reason").isNotNull()), F.count(F.lit(1))).first()
+    assert r[2] == 0 < r[0] <= r[1] < 0.2 * r[3]

@@ -42,7 +42,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return reject.loaded(read_table(spark, d, "vcf_lines"))
+    return reject.loaded(read_table(spark, d, "vcf_lines")).withColumn("samples", F.array_join("samples", "\t"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_shift, p2_found, p3_found, p4_found, p4_loaded)}
@@ -88,6 +88,36 @@ _CHANGES = " UNION ALL ".join(
     [_by("null_share"), _by("bad_share"), _factor("distinct_count", 2), _factor("max_value", 3, _NUM), _factor("mean_value", 1.25, _NUM), _by("top_share", _TEXT)]
 )
 
+# Separators within quotes become private characters, so that splitting leaves them alone; the last steps turn them back.
+_SPAN = '"[^"]*(?:""[^"]*)*"'
+_PLAIN, _PRIVATE = "';|,/:' || chr(9)", "chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350)"
+_P2_KEY = "[A-Za-z][A-Za-z0-9_]*"
+_P2_SPLIT = {"info": "[;|\t]", "alt": "[,/;|]", "fmt": "[:;\t]"}
+
+
+def _p2_field(name: str) -> str:
+    hidden = f"""array_to_string(list_transform(range(1, len(regexp_split_to_array({name}, '{_SPAN}')) + 1), lambda i: regexp_split_to_array({name}, '{_SPAN}')[i] || COALESCE(translate(regexp_extract_all({name}, '{_SPAN}')[i], {_PLAIN}, {_PRIVATE}), '')), '')"""
+    if name == "info":
+        hidden = f"""regexp_replace({hidden}, ',([ \t]*(?:"?{_P2_KEY}=|"{_P2_KEY}"=))', ';\\1', 'g')"""
+    keep = ", lambda t: t <> ''" if name == "info" else ", lambda t: TRUE"
+    return f"""SELECT site_id, '{name}' AS field, list_filter(list_transform(regexp_split_to_array({hidden}, '{_P2_SPLIT[name]}'), lambda t: trim(t, ' ' || chr(9))){keep}) AS t FROM vcf_sites WHERE {name} IS NOT NULL"""
+
+
+_P2 = f"""WITH f AS ({" UNION ALL ".join(map(_p2_field, _P2_SPLIT))}), e AS (SELECT site_id, field, unnest(range(1, len(t) + 1)) AS idx, t FROM f), v AS (SELECT site_id, field, idx, t[idx] AS v FROM e)
+  SELECT site_id, field, CAST(idx AS INT) AS idx, translate(CASE WHEN regexp_full_match(v, '(?:[^"=]*=)?{_SPAN}') THEN regexp_extract(v, '^([^"=]*=?)"', 1) || replace(regexp_extract(v, '^[^"=]*=?"((?s:.*))"$', 1), '""', '"') ELSE v END, {_PRIVATE}, {_PLAIN}) AS val FROM v"""
+
+_P4_FIELD = '(^|\t)"[^"]*(?:""[^"]*)*"'
+_P4_ALLELE = "(?:[.]|0*(?:[0-9]{1,6}|1000000))"
+_P4 = f"""WITH l AS (SELECT line_id, src_file, line_no, regexp_replace(COALESCE(line, ''), '\\r$', '') AS b FROM vcf_lines),
+  w AS (SELECT src_file, arg_min(len(string_split(b, chr(9))), line_no) AS width FROM l WHERE regexp_matches(b, '^#CHROM(\\t|$)') GROUP BY src_file),
+  m AS (SELECT l.*, w.width, regexp_replace(b, '{_P4_FIELD}', '\\1' || chr(1), 'g') AS k, list_transform(regexp_extract_all(chr(9) || b, '\\t("(?:[^"]|"")*"|[^\\t]*)', 1), lambda x: CASE WHEN x LIKE '"%"' AND len(x) > 1 THEN replace(substr(x, 2, len(x) - 2), '""', '"') ELSE x END) AS t
+    FROM l LEFT JOIN w ON l.src_file = w.src_file WHERE NOT starts_with(b, '#')),
+  n AS (SELECT *, string_split(t[9], ':') AS keys, regexp_replace(t[2], '^0+', '') AS p FROM m),
+  c AS (SELECT *, CASE WHEN regexp_matches(k, '(^|\\t)"') OR regexp_matches(k, '\\x01[^\\t]') THEN 'quoting' WHEN len(string_split(k, chr(9))) IS DISTINCT FROM width THEN 'column_count'
+    WHEN NOT regexp_full_match(t[2], '[0-9]+') OR len(p) > 16 OR COALESCE(TRY_CAST(p AS BIGINT), 0) > 9007199254740992 THEN 'pos'
+    WHEN list_contains(keys, '') OR len(list_distinct(keys)) < len(keys) OR NOT list_contains(keys, 'GT') THEN 'format'
+    WHEN len(list_filter(t[10:], lambda x: len(string_split(x, ':')) > len(keys) OR NOT COALESCE(regexp_full_match(string_split(x, ':')[list_position(keys, 'GT')], '{_P4_ALLELE}(?:[/|]{_P4_ALLELE})?'), FALSE))) > 0 THEN 'fmt' END AS reason FROM n)"""
+
 SQL = {
     "p1_found": f"WITH {_CELLS} {_CHANGES}",
     "p1_profile": f"""WITH {_CELLS} SELECT tab, col, load_id, n_rows, n_null, n_bad, distinct_count, n_top, n_numbers, min_value, max_value, min_text, max_text,
@@ -104,4 +134,8 @@ SQL = {
       UNION ALL SELECT row_id, 'pos' FROM j WHERE p1 IS DISTINCT FROM p2
       UNION ALL SELECT row_id, 'ref' FROM j WHERE r1 IS DISTINCT FROM r2
       UNION ALL SELECT row_id, 'alt' FROM j WHERE a1 IS DISTINCT FROM a2""",
+    "p2_found": _P2,
+    "p4_found": f"{_P4} SELECT line_id, reason FROM c WHERE reason IS NOT NULL",
+    "p4_loaded": f"""{_P4} SELECT line_id, src_file, line_no, t[1] AS chrom, CAST(t[2] AS BIGINT) AS pos, t[3] AS id, t[4] AS ref, t[5] AS alt, t[6] AS qual, t[7] AS filter, t[8] AS info, t[9] AS format, array_to_string(t[10:], chr(9)) AS samples
+      FROM c WHERE reason IS NULL""",
 }
