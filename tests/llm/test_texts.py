@@ -243,9 +243,10 @@ def test_forms_the_trainer_never_saw(tagger):
 RECALL = 0.75
 
 
-def test_pruning_changes_nothing(tagger):
-    texts = [t for t, _ in pii_train.corpus(60, 97)]
-    assert pii.entities(tagger, texts) == pii.entities(tagger, texts, prune=1000)
+def test_pruning_changes_next_to_nothing(tagger):
+    texts = [t for t, _ in pii_train.corpus(300, 97)]
+    pruned, whole = ({(d, *e) for d, spans in enumerate(pii.entities(tagger, texts, prune=x)) for e in spans} for x in (pii.PRUNE, 1000))
+    assert len(pruned ^ whole) <= 0.004 * len(whole)
 
 
 def linked(tagger, text):

@@ -43,7 +43,7 @@ LINKS = ("same", "similar", "initial", "number")
 REACH = 3
 ROUNDS = 2
 """Rounds of messages along the skip edges."""
-PRUNE = 9.0
+PRUNE = 7.0
 """A token whose best label scores so much less than nothing, steps and skip edges aside, is nothing."""
 MISS_COST = 2.0
 """A token is labelled if nothing is less than so many times as likely as its best label: what is missed costs more than what is masked in vain."""
@@ -86,16 +86,17 @@ def tokens_of(text: str) -> list[str]:
 
     What stands before the first token is not part of any.
     """
+    cut = _with_mails if "@" in text or _WRITTEN_OUT.search(text) else _TOKEN.findall
     out, at = [], 0
     for m in _PARAGRAPH.finditer(text):
-        out += _tokens(text[at : m.end()])
+        out += cut(text[at : m.end()])
         out.append("")
         at = m.end()
-    return out + _tokens(text[at:])
+    return out + cut(text[at:])
 
 
-def _tokens(text: str) -> list[str]:
-    if "@" not in text and not _WRITTEN_OUT.search(text):
+def _with_mails(text: str) -> list[str]:
+    if "@" not in text and "at" not in text and "AT" not in text:
         return _TOKEN.findall(text)
     out, upto = [], 0
     for a, b in mails_of(text):
