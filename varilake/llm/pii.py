@@ -43,7 +43,7 @@ LINKS = ("same", "similar", "initial", "number")
 REACH = 3
 ROUNDS = 2
 """Rounds of messages along the skip edges."""
-PRUNE = 7.0
+PRUNE = 8.0
 """A token whose best label scores so much less than nothing, steps and skip edges aside, is nothing."""
 MISS_COST = 2.0
 """A token is labelled if nothing is less than so many times as likely as its best label: what is missed costs more than what is masked in vain."""
