@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varilake.functions.numbering import numbered
 from varilake.operators.profile import numeric_text
-from varilake.session import read_table
+from varilake.session import stamp, written_folder
 
 VARIANT_COLUMNS = ("row_id", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "rk", "rpt", "n_alt", "is_biallelic", "is_indel", "info", "format")
 GENOTYPE_COLUMNS = ("row_id", "sample", "sample_idx", "a1", "a2", "phased", "fmt", "dp", "gq", "adr")
@@ -31,6 +33,8 @@ class Genotypes:
     removed: DataFrame
     header: tuple[str, ...] = ()
     filtered: frozenset[str] = field(default=frozenset())
+    report: dict[str, int] = field(default_factory=dict)
+    """What a reader found odd: counts by kind."""
 
     @property
     def spark(self) -> SparkSession:
@@ -46,7 +50,7 @@ class Genotypes:
         return gt
 
     def sample_list(self, *columns: str) -> DataFrame:
-        """The samples for a broadcast join, which MAX_SAMPLES makes safe: from_tables counts them."""
+        """The samples for a broadcast join, which MAX_SAMPLES makes safe: all readers count them."""
         return F.broadcast(self.samples.select("sample_idx", *columns))
 
     def with_variants(self, variants: DataFrame) -> Genotypes:
@@ -60,18 +64,29 @@ class Genotypes:
         return replace(self, gt=gt, filtered=frozenset())
 
     def __getitem__(self, key: tuple) -> Genotypes:
-        """x[row_ids, samples]: a data set restricted to listed row_ids and sample names; None keeps all.
+        """x[rows, samples]: rows and samples by position from 0 (negative ones count from the end), or by a list, slice or
+        mask of booleans of these; samples also by name; None keeps all.
 
-        An unknown sample name is an error. Restricting samples does not drop variants that become invariant.
+        Positions of rows are in row_id order. A mask must be as long as what it selects from; an unknown name or a
+        position out of range is an error. Samples keep their order. No variant is dropped for becoming invariant.
         """
         rows, cols = key
-        out = self if rows is None else self.with_variants(self.variants.where(F.col("row_id").isin(list(rows))))
+        out = self
+        if rows is not None:
+            places = _places(rows, self.variants.count())
+            placed = numbered(self.variants.select("row_id"), "row_id").select("row_id", F.col("n").alias("_n"))
+            chosen = self.spark.createDataFrame([(i + 1,) for i in places], "_n BIGINT")
+            out = self.with_variants(self.variants.join(placed.join(chosen, "_n", "left_semi"), "row_id", "left_semi"))
         if cols is None:
             return out
-        known = {r[0] for r in self.samples.select("sample").collect()}
-        if missing := [c for c in cols if c not in known]:
-            raise KeyError(f"unknown samples: {missing}")
-        return out.with_samples(self.samples.where(F.col("sample").isin(list(cols))))
+        listed = [(r[0], r[1]) for r in self.samples.orderBy("sample_idx").select("sample_idx", "sample").collect()]
+        asked = [cols] if isinstance(cols, str) else cols
+        if not isinstance(asked, slice) and len(asked := list(asked)) and isinstance(asked[0], str):
+            at = {name: i for i, (_, name) in enumerate(listed)}
+            if missing := [c for c in asked if c not in at]:
+                raise KeyError(f"unknown samples: {missing}")
+            asked = [at[c] for c in asked]
+        return out.with_samples(self.samples.where(F.col("sample_idx").isin([listed[i][0] for i in _places(asked, len(listed))])))
 
     def summary(self) -> dict[str, object]:
         """Counts of variants by type, samples by group, share of missing and number of phased genotypes."""
@@ -93,23 +108,91 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
-def from_tables(variants: DataFrame, gt: DataFrame, samples: DataFrame, header: tuple[str, ...] = ()) -> Genotypes:
-    """A data set from stored tables, which may hold rows twice.
+def _places(chosen: object, n: int) -> list[int]:
+    """Positions 0 to n - 1 that an index, slice, list or mask selects."""
+    if isinstance(chosen, slice):
+        return list(range(n))[chosen]
+    chosen = [chosen] if isinstance(chosen, int) and not isinstance(chosen, bool) else list(chosen)
+    if chosen and all(isinstance(c, bool) for c in chosen):
+        if len(chosen) != n:
+            raise IndexError(f"a mask of {len(chosen)} for {n}")
+        return [i for i, c in enumerate(chosen) if c]
+    if bad := [c for c in chosen if not -n <= c < n]:
+        raise IndexError(f"positions out of range: {bad[:5]}")
+    return sorted({c % n for c in chosen})
+
+
+def _first(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of rows that differ, the one that is least by its columns in order, so the choice is repeatable."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*df.columns)
+
 
-    A variant is taken once per row_id and a genotype once per row_id and sample. A genotype with a null or negative
-    allele is missing as a whole. Depths that are NaN or negative are null; qual becomes a number, null if it is none.
-    Values outside a field's domain are so treated like missing ones by every operator.
+def _cleaned(variants: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each variant and each genotype once, values outside a field's domain missing; see from_tables.
+
+    Both are brought together by row_id first, which is all the shuffling that taking them once, and anything that is
+    done per variant afterwards, needs.
     """
-    if (n := samples.count()) > MAX_SAMPLES:
-        raise ValueError(f"{n} samples; at most {MAX_SAMPLES}")
-    variants = variants.select(*VARIANT_COLUMNS).dropDuplicates(["row_id"])
-    variants = variants.withColumn("qual_num", numeric_text(F.col("qual")))
+    variants = _first(variants.select(*VARIANT_COLUMNS).repartition("row_id"), ["row_id"]).withColumn("qual_num", numeric_text(F.col("qual")))
     called = (F.col("a1") >= 0) & (F.col("a2") >= 0)
     number = lambda c: F.when((F.col(c) >= 0) & ~F.isnan(c), F.col(c)).alias(c)
-    gt = gt.select(*GENOTYPE_COLUMNS).dropDuplicates(["row_id", "sample_idx"])
-    gt = gt.select("row_id", "sample", "sample_idx", *(F.when(called, F.col(a)).alias(a) for a in ("a1", "a2")), "phased", "fmt", *(number(c) for c in ("dp", "gq", "adr")))
-    return Genotypes(variants, gt, samples.select("sample_idx", "sample", "grp"), variants.select("row_id", *LOCUS, "format"), empty_like(variants), header)
+    gt = _first(gt.select(*GENOTYPE_COLUMNS).repartition("row_id"), ["row_id", "sample_idx"])
+    return variants, gt.select("row_id", "sample", "sample_idx", *(F.when(called, F.col(a)).alias(a) for a in ("a1", "a2")), "phased", "fmt", *(number(c) for c in ("dp", "gq", "adr")))
+
+
+def _checked(samples: DataFrame) -> DataFrame:
+    if (n := samples.count()) > MAX_SAMPLES:
+        raise ValueError(f"{n} samples; at most {MAX_SAMPLES}")
+    return samples.select("sample_idx", "sample", "grp")
+
+
+def _whole(variants: DataFrame, gt: DataFrame, samples: DataFrame, header: tuple[str, ...]) -> Genotypes:
+    return Genotypes(variants, gt, samples, variants.select("row_id", *LOCUS, "format"), empty_like(variants), tuple(header))
+
+
+def from_tables(variants: DataFrame, gt: DataFrame, samples: DataFrame, header: tuple[str, ...] = ()) -> Genotypes:
+    """A data set from tables that may hold rows twice; nothing is written, so every action cleans them anew (see ingest).
+
+    A variant is taken once per row_id and a genotype once per row_id and sample; of repeated rows that differ the one
+    that is least by its columns. A genotype with a null or negative allele is missing as a whole. Depths that are NaN
+    or negative are null; qual becomes a number, null if it is none. Values outside a field's domain are so treated like
+    missing ones by every operator.
+    """
+    return _whole(*_cleaned(variants, gt), _checked(samples), header)
+
+
+def store(variants: DataFrame, gt: DataFrame, samples: DataFrame, header: tuple[str, ...], path: str, rows_per_file: int = 0) -> Genotypes:
+    """Writes clean tables to Parquet by ranges of row_id, so that row groups are pruned by it, and opens them."""
+    for name, df, order in (("variants", variants, ["row_id"]), ("gt", gt, ["row_id", "sample_idx"])):
+        df.repartitionByRange("row_id").sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/{name}")
+    samples.coalesce(1).write.parquet(f"{path}/samples")
+    variants.sparkSession.createDataFrame(list(enumerate(header)), "i INT, line STRING").coalesce(1).write.parquet(f"{path}/header")
+    return open_dataset(variants.sparkSession, path)
+
+
+def open_dataset(spark: SparkSession, path: str) -> Genotypes:
+    """A data set that store or ingest has written."""
+    variants, gt, samples, header = (spark.read.parquet(f"{path}/{t}") for t in ("variants", "gt", "samples", "header"))
+    return _whole(variants, gt, _checked(samples), [r[0] for r in header.orderBy("i").select("line").collect()])
+
+
+def ingest(variants: DataFrame, gt: DataFrame, samples: DataFrame, path: str | None = None, header: tuple[str, ...] = ()) -> Genotypes:
+    """from_tables, cleaned once and stored: at path, or in the shared folder until the application ends.
+
+    Filters on variants reach the scan of what is stored, and counts per variant need one exchange of one row each.
+    """
+    return store(*_cleaned(variants, gt), _checked(samples), header, path or f"{written_folder(variants.sparkSession)}/{uuid.uuid4().hex}")
+
+
+_STORED: dict[tuple, str] = {}
 
 
 def load(spark: SparkSession, folder: str) -> Genotypes:
-    return from_tables(*(read_table(spark, folder, t) for t in ("variants", "gt", "samples")))
+    """The tables variants, gt and samples of a folder, ingested once per application and state of their files."""
+    tables = [f"{folder}/{t}.parquet" for t in ("variants", "gt", "samples")]
+    key = (spark.sparkContext.applicationId, *(stamp(spark, t) for t in tables))
+    if (path := _STORED.get(key)) is None or stamp(spark, path) is None:
+        path = _STORED[key] = f"{written_folder(spark)}/{uuid.uuid4().hex}"
+        ingest(*(spark.read.parquet(t) for t in tables), path)
+    return open_dataset(spark, path)

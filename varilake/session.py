@@ -19,6 +19,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, path: str) -> tuple | None:
+    """What tells one state of a file or folder from another: where its files are, how long and when written; None if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)) if fs.exists(at) else None
+
+
 def one_machine(spark: SparkSession) -> bool:
     """Whether driver and tasks are one process, so that a folder of this machine is shared by all."""
     return bool(re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+import warnings
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varilake.model import Genotypes
+from varilake.model import MAX_SAMPLES, Genotypes, store
 from varilake.operators.profile import numeric_text
 from varilake.plans.layout import PROGRAM, write_lines
+from varilake.session import written_folder
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 MAX_POS = 2**53
@@ -97,15 +102,17 @@ def parse_variants(lines: DataFrame) -> DataFrame:
     })
 
 
-def parse_genotypes(lines: DataFrame, n_samples: int) -> DataFrame:
-    """row_id, sample_idx from 0, alleles, fmt, dp, gq, adr, kind: a row for every line and sample.
+def parse_genotypes(lines: DataFrame, n_samples: int | Column) -> DataFrame:
+    """row_id, sample_idx from 0, alleles, fmt, dp, gq, adr, kind, n_samples: a row for every line and sample.
 
     GT, DP, GQ and AD are found by name in FORMAT. Absent trailing samples are missing, with empty text. adr is the
     alternate share of the first two AD values at sites with one alternate, where their sum is positive.
     """
     f = F.split("line", "\t", -1)
-    samples = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.get(f, i + 9))
-    wide = lines.select("row_id", F.get(f, F.lit(4)).alias("alt"), F.split(F.coalesce(F.get(f, F.lit(8)), F.lit("")), ":", -1).alias("keys"), F.posexplode(samples).alias("sample_idx", "raw"))
+    n = n_samples if isinstance(n_samples, Column) else F.lit(n_samples)
+    # absent trailing samples are nulls: no place of a line is looked up by a list of samples
+    samples = F.slice(F.concat(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), F.array_repeat(F.lit(None).cast("string"), n)), F.lit(1), n)
+    wide = lines.select("row_id", n.alias("n_samples"), F.get(f, F.lit(4)).alias("alt"), F.split(F.coalesce(F.get(f, F.lit(8)), F.lit("")), ":", -1).alias("keys"), F.posexplode(samples).alias("sample_idx", "raw"))
     values = F.split(F.coalesce("raw", F.lit("")), ":", -1)
     value = lambda key: F.get(values, (F.nullif(F.array_position("keys", key), F.lit(0)) - 1).cast("int"))
     gt = alleles(F.coalesce(value("GT"), F.lit("")))
@@ -114,29 +121,48 @@ def parse_genotypes(lines: DataFrame, n_samples: int) -> DataFrame:
     kind = F.when(F.col("raw").isNull(), "absent").when(F.array_position("keys", "GT") == 0, "no_gt").otherwise(gt["kind"])
     return wide.select(
         "row_id", "sample_idx", gt["a1"].alias("a1"), gt["a2"].alias("a2"), gt["phased"].alias("phased"), F.coalesce("raw", F.lit("")).alias("fmt"), number_of(value("DP")).alias("dp"), number_of(value("GQ")).alias("gq"),
-        F.when(~F.coalesce("alt", F.lit("")).contains(",") & (ref + alt > 0), alt / (ref + alt)).alias("adr"), kind.alias("kind"),
+        F.when(~F.coalesce("alt", F.lit("")).contains(",") & (ref + alt > 0), alt / (ref + alt)).alias("adr"), kind.alias("kind"), "n_samples",
     )
 
 
-def parse_report(lines: DataFrame, n_samples: int) -> DataFrame:
+REPORT = ("haploid", "half_missing", "polyploid", "malformed", "short_lines", "no_gt_lines")
+
+
+def _report_counts(last: Column) -> list[Column]:
+    """Counts of REPORT over parsed genotypes; a short line lacks its last sample, a line without GT has it nowhere."""
+    kinds = {k: F.col("kind") == k for k in REPORT[:4]}
+    kinds |= {"short_lines": (F.col("kind") == "absent") & (F.col("sample_idx") == last), "no_gt_lines": (F.col("kind") == "no_gt") & (F.col("sample_idx") == 0)}
+    return [F.count_if(c).alias(k) for k, c in kinds.items()]
+
+
+def parse_report(lines: DataFrame, n_samples: int | Column) -> DataFrame:
     """One row: how many genotypes were haploid, half_missing, polyploid, malformed, and lines short or without GT."""
-    g = parse_genotypes(lines, n_samples)
-    kinds = ("haploid", "half_missing", "polyploid", "malformed")
-    per_line = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("m").cast("double") / F.col("m"))), F.lit(0)).cast("bigint")
-    counts = g.groupBy("row_id", "kind").agg(F.count(F.lit(1)).alias("m"))
-    return counts.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("m"))), F.lit(0)).alias(k) for k in kinds), per_line("absent").alias("short_lines"), per_line("no_gt").alias("no_gt_lines"))
+    return parse_genotypes(lines, n_samples).agg(*_report_counts(F.col("n_samples") - 1))
+
 
+def read_vcf(spark: SparkSession, path: str, chunk_size: int = 50_000, store_at: str | None = None) -> Genotypes:
+    """A data set from a plain or gzip VCF file, parsed once and stored as Parquet by row_id.
 
-def read_vcf(spark: SparkSession, path: str) -> Genotypes:
-    """A data set from a plain or gzip VCF file."""
+    chunk_size: variants per stored file at most. It is stored at store_at, or in the shared folder until the
+    application ends. What the parser found odd is counted while it is written, and given as a warning and in report.
+    """
+    if chunk_size < 1:
+        raise ValueError("chunk_size must be at least 1")
     header = header_lines(spark, path)
     names = header[-1].split("\t")[9:]
+    if len(names) > MAX_SAMPLES:
+        raise ValueError(f"{len(names)} samples; at most {MAX_SAMPLES}")
     lines = numbered_lines(spark, path)
     variants = parse_variants(lines).withColumn("qual_num", numeric_text(F.col("qual")))
     samples = spark.createDataFrame([(i, s, None) for i, s in enumerate(names)], "sample_idx INT, sample STRING, grp STRING")
-    gt = parse_genotypes(lines, len(names)) if names else parse_genotypes(lines, 1).where(F.lit(False))
-    gt = gt.join(F.broadcast(samples.drop("grp")), "sample_idx").select("row_id", "sample", "sample_idx", "a1", "a2", "phased", "fmt", "dp", "gq", "adr")
-    return Genotypes(variants, gt, samples, variants.select("row_id", "chrom", "pos", "ref", "alt", "format"), variants.where(F.lit(False)), header)
+    counts = Observation()
+    gt = parse_genotypes(lines, max(len(names), 1)).observe(counts, *_report_counts(F.col("n_samples") - 1))
+    gt = (gt if names else gt.where(F.lit(False))).join(F.broadcast(samples.drop("grp")), "sample_idx").select("row_id", "sample", "sample_idx", "a1", "a2", "phased", "fmt", "dp", "gq", "adr")
+    out = store(variants, gt, samples, header, store_at or f"{written_folder(spark)}/{uuid.uuid4().hex}", chunk_size * max(len(names), 1))
+    report = dict(counts.get)
+    if odd := {k: v for k, v in report.items() if v}:
+        warnings.warn(f"{path}: {odd}", stacklevel=2)
+    return replace(out, report=report)
 
 
 def general(x: Column) -> Column:
@@ -192,7 +218,14 @@ def vcf_lines(data: Genotypes, updated: bool = True) -> DataFrame:
 
 
 def write_vcf(data: Genotypes, path: str, updated: bool = True) -> None:
-    """One file, gzip if its name ends so; the header with a line naming this program once."""
+    """One file, gzip if its name ends so; the header with a line naming this program once.
+
+    Variants without a position can't be written; that, and variants out of order, is a warning.
+    """
+    if n := data.variants.where("pos IS NULL").count():
+        warnings.warn(f"{n} variants without a position are not written", stacklevel=2)
+    if not is_sorted(data):
+        warnings.warn("the variants are not sorted by chrom and position; tools that index the file may refuse it", stacklevel=2)
     names = [r[0] for r in data.samples.orderBy("sample_idx").select("sample").collect()]
     source = f"##source={PROGRAM}"
     meta = [h for h in data.header if not h.startswith("#CHROM")] or ["##fileformat=VCFv4.2"]
@@ -200,12 +233,26 @@ def write_vcf(data: Genotypes, path: str, updated: bool = True) -> None:
     write_lines(vcf_lines(data, updated), path, ["row_id"], head)
 
 
+ORDER_BLOCK = 1 << 16
+"""row_ids whose variants one task compares with their neighbours."""
+
+
 def is_sorted(data: Genotypes) -> bool:
-    """Whether each chrom's variants stand together and their positions do not decrease, in row_id order."""
-    v = data.variants.where("pos IS NOT NULL").groupBy("chrom").agg(F.min("row_id").alias("a"), F.max("row_id").alias("b"), F.count(F.lit(1)).alias("m"))
-    overlap = v.withColumn("upto", F.max("b").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))).where("a < upto")  # one row per chrom
-    if not overlap.isEmpty():
-        return False
-    before = F.lag("pos").over(Window.partitionBy("chrom").orderBy("row_id"))
-    return data.variants.where("pos IS NOT NULL").withColumn("_p", before).where("pos < _p").isEmpty()
+    """Whether each chrom's variants stand together and their positions do not decrease, in row_id order.
 
+    Neighbours are compared within blocks of row_ids, and the blocks by their first and last variant: no task sees more
+    than a block, or one row per block.
+    """
+    v = data.variants.where("pos IS NOT NULL").select("row_id", "chrom", "pos").withColumn("block", F.floor(F.col("row_id") / ORDER_BLOCK))
+    w = Window.partitionBy("block").orderBy("row_id")
+    steps = v.withColumns({"_c": F.lag("chrom").over(w), "_p": F.lag("pos").over(w), "_i": F.row_number().over(w)})
+    new, back = ~F.col("chrom").eqNullSafe(F.col("_c")), F.col("chrom").eqNullSafe(F.col("_c")) & (F.col("pos") < F.col("_p"))
+    inner = steps.where("_i > 1").groupBy("block").agg(F.bool_or(back).alias("back"))
+    ends = v.groupBy("block").agg(F.min_by(F.struct("chrom", "pos"), "row_id").alias("a"), F.max_by(F.struct("chrom", "pos"), "row_id").alias("b"))
+    follow = ends.withColumn("_b", F.lag("b").over(Window.orderBy("block")))  # one row per block
+    across = F.col("a.chrom").eqNullSafe(F.col("_b.chrom"))
+    if not inner.where("back").isEmpty() or not follow.where(across & (F.col("a.pos") < F.col("_b.pos"))).isEmpty():
+        return False
+    # runs of a chrom begin where the variant before has another; a chrom that begins twice is torn
+    starts = steps.where((F.col("_i") > 1) & new).select("chrom").unionByName(follow.where(F.col("_b").isNull() | ~across).select("a.chrom"))
+    return starts.groupBy("chrom").count().where("count > 1").isEmpty()
