@@ -34,7 +34,10 @@ LOAD = 0.6
 ESTIMATE_BITS = 6
 """The number of differences is estimated from the rows whose hash ends in so many zero bits."""
 
-_SUMS = ("cnt", "key_hi", "key_lo", "hash_hi", "hash_lo", "chk_hi", "chk_lo")
+BROADCAST_KEYS = 2_000_000
+"""Most differing keys, of eight bytes each, that are broadcast to fetch their rows; with more, the rows are shuffled."""
+
+_SUMS = ("cnt", "key_hi", "key_lo", "hash_hi", "hash_lo", "chk")
 
 
 def canonical_number(c: Column) -> Column:
@@ -84,13 +87,13 @@ def peel(cells: pd.DataFrame, bits: int) -> tuple[np.ndarray, bool]:
         exact = (t[:, 1:] % n == 0).all(axis=1)
         rows, t, n = rows[exact], t[exact], n[exact]
         q = t[:, 1:] // n
-        inside = ((q[:, 1::2] >= 0) & (q[:, 1::2] <= low)).all(axis=1)
+        inside = ((q[:, [1, 3, 4]] >= 0) & (q[:, [1, 3, 4]] <= low)).all(axis=1)
         rows, n, q = rows[inside], n[inside, 0], q[inside]
         join = lambda i: ((q[:, i] << 32) | q[:, i + 1]).view(np.uint64) if len(q) else np.zeros(0, np.uint64)
-        key, h, chk = (join(i).copy() for i in (0, 2, 4))
+        key, h, chk = join(0).copy(), join(2).copy(), q[:, 4].copy().view(np.uint64)
         place = _xx(key, h)
         cell = np.stack([((place >> np.uint64(bits * i)) & mask).astype(np.int64) + (i << bits) for i in range(3)], axis=1)
-        pure = (_xx(h, key) == chk) & (cell == rows[:, None]).any(axis=1)
+        pure = (_xx(h, key) & np.uint64(low) == chk) & (cell == rows[:, None]).any(axis=1)
         if not pure.any():
             return np.concatenate(found) if found else np.zeros(0, np.int64), not table.any()
         _, once = np.unique(np.stack([key[pure], h[pure]], axis=1), axis=0, return_index=True)
@@ -107,19 +110,18 @@ def _cells(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
     half = lambda name, c: (F.shiftright(c, 32).alias(f"{name}_hi"), c.bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{name}_lo"))
     flat = rows.select(
         bucket.alias("bucket"), F.explode(cell).alias("cell"), F.col("sign").cast("bigint").alias("cnt"),
-        *(p for name, c in (("key", F.col("k")), ("hash", F.col("h")), ("chk", F.xxhash64("h", "k"))) for p in half(name, c)),
+        *(p for name, c in (("key", F.col("k")), ("hash", F.col("h"))) for p in half(name, c)), F.xxhash64("h", "k").bitwiseAND(F.lit(0xFFFFFFFF)).alias("chk"),
     )
     sums = [F.sum(F.col(c) * (F.col("cnt") if c != "cnt" else F.lit(1))).alias(c) for c in _SUMS]
     return flat.groupBy("bucket", "cell").agg(*sums).where(" OR ".join(f"{c} <> 0" for c in _SUMS))
 
 
-def differing_keys(rows: DataFrame, n_rows: int, bits: int = CELL_BITS) -> DataFrame:
+def differing_keys(rows: DataFrame, bits: int = CELL_BITS) -> DataFrame:
     """(k): every key whose rows differ between the two sides, and few others. rows: k, h, sign, place of both sides."""
     strata = rows.where(F.col("place").bitwiseAND(F.lit((1 << ESTIMATE_BITS) - 1)) == 0)
     left = strata.groupBy("k", "h").agg(F.sum("sign").alias("net")).where("net <> 0").count()
     # four standard deviations of the estimate on top: an unlucky estimate costs time, never a difference
     expected = (left + 4 * math.sqrt(left) + 4) * (1 << ESTIMATE_BITS)
-    expected = min(expected, n_rows)
     buckets = max(1, math.ceil(expected / (LOAD * (3 << bits))))
 
     def peeled(bucket: tuple, cells: pd.DataFrame) -> pd.DataFrame:
@@ -130,10 +132,10 @@ def differing_keys(rows: DataFrame, n_rows: int, bits: int = CELL_BITS) -> DataF
     keys = out.where("clean").select("k")
     stuck = out.where("NOT clean").select("bucket")
     if stuck.isEmpty():
-        return keys.distinct()
+        return materialize(keys.distinct())
     bucket = F.pmod(F.shiftrightunsigned("place", 3 * bits), F.lit(buckets))
     rest = rows.withColumn("bucket", bucket).join(stuck, "bucket", "left_semi").select("k")
-    return keys.unionByName(rest).distinct()
+    return materialize(keys.unionByName(rest).distinct())
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, fields: dict[str, bool], names: tuple[str, str]) -> DataFrame:
@@ -146,8 +148,9 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: dict[str, b
     """
     n = len(fields)
     sides = _side(left, key, fields, 1).unionByName(_side(right, key, fields, -1))
-    keys = differing_keys(_hashed(sides, n), left.count() + right.count())
-    rows = sides.join(keys, "k", "left_semi")
+    keys = differing_keys(_hashed(sides, n))
+    few = keys.count() <= BROADCAST_KEYS
+    rows = sides.join(F.broadcast(keys) if few else keys, "k", "left_semi")
     long = rows.select("k", F.when(F.col("sign") > 0, 1).otherwise(2).alias("on"), F.posexplode(F.array(*(f"f{i}" for i in range(n)))).alias("f", "v"))
     held = long.groupBy("k", "f", "v").agg(F.bit_or("on").alias("on"))
     per_key = held.groupBy("k").agg(F.bit_or("on").alias("on"), *(F.max((F.col("f") == i) & (F.col("on") != 3)).alias(f"d{i}") for i in range(n)))
