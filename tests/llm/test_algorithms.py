@@ -110,3 +110,14 @@ def test_merging_tree_has_bounded_fan_in(spark):
     df = spark.createDataFrame([("s", float(i)) for i in range(3000)], "sample STRING, dp DOUBLE").repartition(9)
     r = quantiles.query(quantiles.merge(quantiles.build(df, "sample", F.col("dp"), 16), "sample", 9, 16, fan_in=2), "sample", (50,)).first()
     assert r["n"] == 3000 and abs(r["val"] - 1499) <= r["error"]
+
+
+def test_many_groups_and_spilled_sketches(spark, monkeypatch):
+    """10^5 groups beside one with a third of all rows, with sketches given out early and a salted exact pass."""
+    for name, value in (("HELD", 5000), ("CHUNK", 20_000), ("BROADCAST_GROUPS", 10)):
+        monkeypatch.setattr(quantiles, name, value)
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 100_000)).alias("sample"), (F.xxhash64("id") % 1000).cast("double").alias("dp"))
+    answers = quantiles.percentiles(df, "sample", F.col("dp"), (50,), 64)
+    got = quantiles.exact(df, "sample", F.col("dp"), answers)
+    want = df.groupBy("sample").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dp)").alias("val"))
+    assert got.select("sample", "val").exceptAll(want).isEmpty() and want.count() == got.count() > 66_000

@@ -14,14 +14,15 @@ from __future__ import annotations
 import math
 import sys
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from varilake.session import materialize
@@ -32,8 +33,16 @@ K = 4096
 """Values in a buffer: 10^12 values of a group are answered within 0.35 % of their ranks."""
 FAN_IN = 64
 """Partial sketches that one task merges at a time."""
+OUT_ROWS = 4096
 CHUNK = 1 << 20
 """Rows of a task that are sorted at a time."""
+HELD = 8 << 20
+"""Values in the sketches of a task; beyond, they are given out as partial sketches and the task begins new ones."""
+BROADCAST_GROUPS = 200_000
+"""Most groups whose bounds are broadcast for the exact pass; with more, they are joined by salted shuffle."""
+SALTS = 16
+SLICES = 1024
+"""Slices of the values between a percentile's bounds, of which one is searched value by value."""
 SKETCH = "part INT, weight BIGINT, error DOUBLE, vals ARRAY<DOUBLE>"
 
 
@@ -44,6 +53,9 @@ class Sketch:
         self.k, self.full, self.loose, self.error = k, defaultdict(list), [], 0.0
         self.n_loose, self.turn = 0, 0
 
+    def held(self) -> int:
+        return self.n_loose + self.k * sum(map(len, self.full.values()))
+
     def add(self, values: np.ndarray, weight: int = 1, error: float = 0.0) -> None:
         """Single values, or one full buffer of another sketch."""
         self.error += error
@@ -87,8 +99,10 @@ def build(df: DataFrame, group: str, value: Column, k: int = K) -> DataFrame:
     def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict = defaultdict(lambda: Sketch(k))
         held: list[pa.RecordBatch] = []
+        size = 0
 
         def flush() -> None:
+            nonlocal size
             table = pa.Table.from_batches(held).combine_chunks()
             names = table["g"].combine_chunks().dictionary_encode(null_encoding="encode")
             if isinstance(names, pa.ChunkedArray):
@@ -98,39 +112,90 @@ def build(df: DataFrame, group: str, value: Column, k: int = K) -> DataFrame:
             order = np.argsort(codes, kind="stable")
             codes, values = codes[order], values[order]
             starts = np.flatnonzero(np.diff(codes, prepend=-1))
-            for a, b in zip(starts, [*starts[1:], len(codes)], strict=True):
-                of[names.dictionary[int(codes[a])].as_py()].add(values[a:b])
+            keys = names.dictionary.take(pa.array(codes[starts])).to_pylist()
+            for key, a, b in zip(keys, starts, [*starts[1:], len(codes)], strict=True):
+                size -= (sketch := of[key]).held()
+                sketch.add(values[a:b])
+                size += sketch.held()
             held.clear()
 
+        def given() -> Iterator[pa.RecordBatch]:
+            rows_out = [(g, w, e, b) for g, s in of.items() for w, e, b in s.buffers()]
+            for i in range(0, len(rows_out), OUT_ROWS):
+                part = rows_out[i : i + OUT_ROWS]
+                yield pa.RecordBatch.from_pydict(
+                    {"g": pa.array([r[0] for r in part], schema_type), "part": pa.array([0] * len(part), pa.int32()), "weight": pa.array([r[1] for r in part], pa.int64()), "error": pa.array([r[2] for r in part], pa.float64()), "vals": pa.array([r[3] for r in part], pa.list_(pa.float64()))}
+                )
+            of.clear()
+
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= CHUNK:
                 flush()
+                if size > HELD:
+                    yield from given()
+                    size = 0
         if held:
             flush()
-        rows_out = [(g, w, e, b) for g, s in of.items() for w, e, b in s.buffers()]
-        yield pa.RecordBatch.from_pydict(
-            {"g": pa.array([r[0] for r in rows_out], schema_type), "part": pa.array([0] * len(rows_out), pa.int32()), "weight": pa.array([r[1] for r in rows_out], pa.int64()), "error": pa.array([r[2] for r in rows_out], pa.float64()), "vals": pa.array([r[3] for r in rows_out], pa.list_(pa.float64()))}
-        )
+        yield from given()
+
     out = rows.mapInArrow(sketches, f"g {kind}, {SKETCH}")
     return out.withColumn("part", F.spark_partition_id()).withColumnRenamed("g", group)
 
 
+def _per_key(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """work on the rows of each key in order; its rows. Keys stream through a task one after the other, thousands a second."""
+    df = df.select(*keys, *(c for c in df.columns if c not in keys))
+    cols, types = df.columns, [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema).fields]
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    n = len(keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, out = None, {c: [] for c in cols}, []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            lists = [c.to_pylist() if c.type != pa.list_(pa.float64()) else _lists(c) for c in batch.columns]
+            for i, key in enumerate(zip(*lists[:n], strict=True)):
+                if key != current:
+                    if rows[cols[0]]:
+                        out += work(current, rows)
+                    current, rows = key, {c: [] for c in cols}
+                    if len(out) >= OUT_ROWS:
+                        yield batch_of(out)
+                        out = []
+                for c, values in zip(cols, lists, strict=True):
+                    rows[c].append(values[i])
+        if rows[cols[0]]:
+            out += work(current, rows)
+        yield batch_of(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())
+    return np.split(flat, ends[:-1])
+
+
 def merge(sketches: DataFrame, group: str, parts: int, k: int = K, fan_in: int = FAN_IN) -> DataFrame:
-    """One sketch per group, merged in a tree: no task sees more than fan_in partial sketches of a group."""
+    """One sketch per group, merged in a tree: no task sees more than fan_in tasks' sketches of a group at a time."""
     kind = sketches.schema[group].dataType.simpleString()
 
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+    def merged(key: tuple, rows: dict[str, list]) -> list[tuple]:
+        if len(rows["vals"]) == 1 and rows["weight"][0] == 1:
+            return [(key[0], key[1], 1, rows["error"][0], rows["vals"][0])]
         s = Sketch(k)
-        rows = rows.sort_values(["part", "weight"], kind="stable")
         for w, e, v in zip(rows["weight"], rows["error"], rows["vals"], strict=True):
-            s.add(np.asarray(v, dtype=np.float64), int(w), float(e))
-        out = list(s.buffers())
-        return pd.DataFrame({group: [rows[group].iloc[0]] * len(out), "part": int(rows["part"].iloc[0]) // fan_in, "weight": [w for w, _, _ in out], "error": [e for _, e, _ in out], "vals": [b for _, _, b in out]})
+            s.add(v, w, e)
+        return [(key[0], key[1], w, e, b) for w, e, b in s.buffers()]
 
     while True:
-        sketches = sketches.groupBy(group, F.floor(F.col("part") / fan_in)).applyInPandas(merged, f"{group} {kind}, {SKETCH}")
+        sketches = sketches.withColumn("_to", F.floor(F.col("part") / fan_in).cast("int"))
+        sketches = _per_key(sketches, [group, "_to"], ["part", "weight"], merged, f"{group} {kind}, {SKETCH}")
         parts = math.ceil(parts / fan_in)
         if parts <= 1:
             return sketches
@@ -143,22 +208,22 @@ def query(sketches: DataFrame, group: str, percents: tuple[int, ...]) -> DataFra
     """
     kind = sketches.schema[group].dataType.simpleString()
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([np.asarray(v, dtype=np.float64) for v in rows["vals"]])
-        weights = np.concatenate([np.full(len(v), w, dtype=np.int64) for v, w in zip(rows["vals"], rows["weight"], strict=True)])
+    def answer(key: tuple, rows: dict[str, list]) -> list[tuple]:
+        values = np.concatenate(rows["vals"])
+        weights = np.repeat(np.asarray(rows["weight"], np.int64), [len(v) for v in rows["vals"]])
         order = np.argsort(values, kind="stable")
         values, upto = values[order], np.cumsum(weights[order])
-        n, error = int(upto[-1]), float(rows["error"].sum())
+        n, error = int(upto[-1]), float(sum(rows["error"]))
         out = []
         for pct in percents:
             rank = -(-pct * n // 100)
-            at = lambda r: values[min(np.searchsorted(upto, r, side="left"), len(values) - 1)]
-            low = at(rank - error) if rank - error >= 1 else -np.inf
-            high = at(rank + error) if rank + error <= n else np.inf
-            out.append((rows[group].iloc[0], n, error, pct, at(max(rank, 1)), low, high))
-        return pd.DataFrame(out, columns=[group, "n", "error", "pct", "val", "low", "high"])
+            at = lambda r: float(values[min(np.searchsorted(upto, r, side="left"), len(values) - 1)])
+            low = at(rank - error) if rank - error >= 1 else -math.inf
+            high = at(rank + error) if rank + error <= n else math.inf
+            out.append((key[0], n, error, pct, at(max(rank, 1)), low, high))
+        return out
 
-    return sketches.groupBy(group).applyInPandas(answer, f"{group} {kind}, n BIGINT, error DOUBLE, pct INT, val DOUBLE, low DOUBLE, high DOUBLE")
+    return _per_key(sketches, [group], [], answer, f"{group} {kind}, n BIGINT, error DOUBLE, pct INT, val DOUBLE, low DOUBLE, high DOUBLE")
 
 
 def percentiles(df: DataFrame, group: str, value: Column, percents: tuple[int, ...], k: int = K) -> DataFrame:
@@ -175,12 +240,30 @@ def exact(df: DataFrame, group: str, value: Column, answers: DataFrame) -> DataF
 
     Only the values between low and high are told apart, the ones below are counted, the ones above are left out, so
     that what is shuffled of a group are counts, combined on the map side, of the few values within the error bound.
+    Those are counted by slices first, and only the slice that holds the percentile is searched value by value, so no
+    task sees all values of a group. The bounds of up to BROADCAST_GROUPS groups are broadcast; with more, they are
+    copied SALTS times and joined to rows spread over as many tasks, so that a large group is never in one.
     """
     asked = answers.groupBy(group).agg(F.array_agg(F.struct("pct", "n", "low", "high")).alias("ask")).withColumnRenamed(group, "g_")
     rows = df.select(df[group].alias("g"), value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    each = rows.join(asked, F.col("g").eqNullSafe(F.col("g_"))).select("g", "v", F.explode("ask").alias("a")).where("v <= a.high")
+    same = F.col("g").eqNullSafe(F.col("g_"))
+    if asked.count() <= BROADCAST_GROUPS:
+        both = rows.join(F.broadcast(asked), same)
+    else:
+        salted = asked.withColumn("s_", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+        both = rows.withColumn("s", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, same & (F.col("s") == F.col("s_")))
+    each = both.select("g", "v", F.explode("ask").alias("a")).where("v <= a.high")
     within = F.when(F.col("v") >= F.col("a.low"), F.col("v"))
-    counted = each.groupBy("g", "a.pct", "a.n", within.alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    upto = F.sum("m").over(Window.partitionBy("g", "pct").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    reached = counted.withColumn("upto", upto).where("v IS NOT NULL").where(F.col("upto") * 100 >= F.col("pct") * F.col("n"))
+    width = F.col("a.high") - F.col("a.low")
+    even = F.floor((F.col("v") - F.col("a.low")) / width * SLICES)
+    part = F.when(within.isNull(), -1).when((width > 0) & (width < float("inf")), F.least(even, F.lit(SLICES - 1))).otherwise(0).cast("int")
+    counted = materialize(each.groupBy("g", "a.pct", "a.n", part.alias("part"), within.alias("v")).agg(F.count(F.lit(1)).alias("m")))
+    slices = counted.groupBy("g", "pct", "n", "part").agg(F.sum("m").alias("m"))
+    # at most SLICES + 1 rows per group and percentile
+    upto = F.sum("m").over(Window.partitionBy("g", "pct").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    enough = F.col("upto") * 100 >= F.col("pct") * F.col("n")
+    first = slices.withColumn("upto", upto).where("part >= 0").where(enough).groupBy(F.col("g").alias("g_"), F.col("pct").alias("p_")).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("m")).alias("before")), "part").alias("x"))
+    inside = counted.join(first, same & (F.col("pct") == F.col("p_")) & (F.col("part") == F.col("x.part")))
+    run = F.col("x.before") + F.sum("m").over(Window.partitionBy("g", "pct").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = inside.withColumn("upto", run).where(enough)
     return reached.groupBy("g", "pct").agg(F.min("v").alias("val")).withColumnRenamed("g", group)
