@@ -1,5 +1,6 @@
 """Packing, leaks and personal information."""
 
+import bisect
 import itertools
 import random
 import re
@@ -36,6 +37,22 @@ def test_pack_places_every_item_once(capacity):
             assert np.bincount(bins, weights=sizes).max() <= capacity and set(bins) == set(range(bins.max() + 1))
 
 
+def best_fit(sizes, capacity):
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("capacity", [256, 1024, 4096])
+def test_pack_is_no_worse_than_best_fit(capacity):
+    rng = np.random.default_rng(5)
+    for spread in (0.6, 1.0, 1.4):
+        sizes = np.clip(np.exp(rng.normal(np.log(capacity / 3), spread, 2000)).astype(int), 1, capacity)
+        assert packing.pack(sizes, capacity).max() + 1 <= best_fit(sizes.tolist(), capacity)
+
+
 def filled(spark, texts, plan, **kw):
     docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING").withColumn("n_tokens", F.lit(1)).withColumn("bin", F.lit("x"))
     targets = spark.createDataFrame(plan, "target_id INT, label STRING, capacity_tokens INT")
@@ -47,7 +64,7 @@ def test_fill_containers(spark):
     texts = [(i, " ".join(rng.choice(["the", "court", "finds", "x7", "é"]) for _ in range(int(300 ** rng.random())))) for i in range(400)] + [(900, None), (901, ""), (902, "word " * 20_000), (903, "word " * 20_000), (904, "<|endoftext|>")]
     plan = [(1, "short", 64), (2, "long", 1024)]
     rows = filled(spark, texts, plan, shard_items=100)
-    tokens = {i: len(packing._encoder(f"{packing.TOKENIZERS}/{packing.VOCABULARY}").encode_ordinary(t)) for i, t in texts if t}
+    tokens = {i: len(packing._encoder(packing.read_vocabulary()).encode_ordinary(t)) for i, t in texts if t}
     for target, _, capacity in plan:
         mine = [r for r in rows if r["target_id"] == target]
         bins, docs = defaultdict(int), defaultdict(list)
@@ -65,6 +82,15 @@ def test_fill_containers(spark):
     assert filled(spark, texts, plan, shard_items=100) is not None and {tuple(r) for r in filled(spark, texts, plan, shard_items=100)} == {tuple(r) for r in rows}
 
 
+def test_shards_cost_next_to_nothing(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "word " * int(900 ** rng.random())) for i in range(3000)], "doc_id BIGINT, text STRING")
+    plan = spark.createDataFrame([(1, "a", 256), (2, "b", 1024)], "target_id INT, label STRING, capacity_tokens INT")
+    one, many = ({r["target_id"]: r for r in packing.fill_report(docs, plan, shard_items=n).collect()} for n in (10**6, 150))
+    for t in one:
+        assert one[t]["least"] == many[t]["least"] <= one[t]["containers"] <= many[t]["containers"] <= 1.01 * one[t]["containers"] + 1
+
+
 def test_fill_containers_edges(spark):
     assert filled(spark, [], [(1, "a", 8)]) == [] and filled(spark, [(1, "a b c")], []) == []
     rows = filled(spark, [(1, "a b c"), (1, "a b c")], [(1, "a", 8)])
@@ -125,9 +151,9 @@ def test_leaks_cases(spark):
     item = "Suppose a ferryman from Upper Farrley burns peat, beside a thatched barn; and after 372 days frost cracks the pipe"
     w = words(item)
     docs = [(1, f"x {' '.join(w[3:15])} y"), (2, f"x {' '.join(w[3:14])} y"), (3, "–".join(w[8:]).upper()), (4, None), (5, ""), (6, item), (7, "Supposeéa ferryman " + item[19:]), (8, " ".join(w[:6] + ["no"] + w[6:])), (9, "lorem " * 300_000 + " ".join(w[5:17]))]
-    items = [(10, item), (11, "too short to leak"), (12, None), (13, ""), (14, item)]
+    items = [(10, item), (11, "too short to leak"), (12, None), (13, ""), (14, item), (15, 'one two'), (15, item), (15, 'x ' * 20)]
     got = searched(spark, docs, items)
-    assert got == leaked(docs[:8], items) | {(9, 10), (9, 14)} and (1, 10) in got and (2, 10) not in got
+    assert got == leaked(docs[:8], items) | {(9, 10), (9, 14), (9, 15)} and (1, 10) in got and (2, 10) not in got
     assert searched(spark, docs, items, block_chars=1) == got
     assert searched(spark, [], items) == set() == searched(spark, docs, [])
 

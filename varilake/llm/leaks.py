@@ -69,9 +69,10 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, edits: int = 0) -> None:
         self.window, self.edits, self.piece = window, edits, piece_words(window, edits)
-        self.words = {i: normalized(t).split() for i, t in items}
+        # an id may stand for several texts: each is searched for by its place, and answered by its id
+        self.ids, self.words = [i for i, _ in items], [normalized(t).split() for _, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
-        for i, words in self.words.items():
+        for i, words in enumerate(self.words):
             for at in range(0, len(words) - self.piece + 1, self.piece) if len(words) >= window else ():
                 places.setdefault(f" {' '.join(words[at : at + self.piece])} ", []).append((i, at))
         self.automaton = ahocorasick.Automaton()
@@ -92,8 +93,9 @@ class Searcher:
             around = _last_words(body, start, reach) + body[start:end].split() + _next_words(body, end, reach)
             there = set(around)
             for item, at in where:
-                if found.get(item, 1) and (best := self.verify(around, there, item, at)) is not None:
-                    found[item] = min(best, found.get(item, best))
+                key = self.ids[item]
+                if found.get(key, 1) and (best := self.verify(around, there, item, at)) is not None:
+                    found[key] = min(best, found.get(key, best))
         return found
 
     def verify(self, around: list[str], there: set[str], item: int, at: int) -> int | None:
@@ -148,7 +150,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     over the documents per block, so what a task holds is bounded whatever their number. No shuffle. Words are runs of
     ASCII letters and digits, case and all between them ignored. Items of fewer than `window` words have no passage.
     Null texts hold nothing; equal texts and repeated rows are each reported; texts are searched whole. Item keys are
-    integers; an item key that repeats stands for its last text. Empty tables give no row.
+    integers; an item key that repeats stands for all of its texts. Empty tables give no row.
     """
     kind, item_kind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"{doc_key} {kind}, {item_key} {item_kind}, edits INT"

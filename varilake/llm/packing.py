@@ -2,19 +2,21 @@
 
 Texts are measured in tokens of a public tokenizer. A text longer than a container is cut: its full pieces are
 containers of their own, only the remainder is packed. Remainders are spread evenly over shards; in each, one container
-after the other takes the longest text left and then the fullest feasible combination of the others, found by
-subset-sum dynamic programming over the lengths still available, held as the bits of an integer. Containers of a shard
-that end up with room left over are emptied and their texts packed again in rounds with fewer shards, until one shard holds
-all such texts or a round no longer halves the shards.
+after the other is given the fullest feasible combination of the texts left, found by subset-sum dynamic programming
+over the lengths still available, held as the bits of an integer. A container begins with the longest text left if that
+is longer than a seed; a shard is packed for several seeds, and the best packing is taken. Containers of a shard that
+end up with room left over are emptied and their texts spread and packed again in rounds, until one shard holds all such
+texts or a round leaves most of its texts as they were.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
-import os
 import sys
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,11 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 """Fixed value: how the vocabulary's tokenizer splits a text before merging."""
 SHARD_ITEMS = 20_000
 """Texts that one task packs."""
+SEEDS = (0.5, 1 / 3, 0.0)
+"""Shares of the capacity above which the longest text left begins a container."""
+WORTH = 0.75
+"""Packing again goes on while a round leaves fewer than this share of the texts of the round before."""
+MAX_VOCABULARY = 64 << 20
 REPACK_BELOW = 0.995
 """Containers filled less than this are packed again together with those of other shards."""
 
@@ -40,22 +47,30 @@ _PLACED = "target_id INT, bin STRING, doc_id BIGINT, piece INT, n_tokens INT, fi
 _ENCODERS: dict[str, object] = {}
 
 
-def _encoder(path: str):  # noqa: ANN202
+def _encoder(vocabulary: bytes):  # noqa: ANN202
     import tiktoken
 
-    if path not in _ENCODERS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+    name = hashlib.md5(vocabulary).hexdigest()
+    if name not in _ENCODERS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _ENCODERS[name] = tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[name]
+
+
+def read_vocabulary(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
+    """Read by the driver, at most MAX_VOCABULARY bytes, and sent to the tasks, which need no such folder."""
+    data = Path(folder, vocabulary).read_bytes()
+    if len(data) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of {len(data)} bytes; at most {MAX_VOCABULARY}")
+    return data
 
 
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens). Null texts are left out; the empty text has no tokens; texts are measured whole."""
-    path = os.path.join(folder, vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(sent.value).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b[0], pa.array([len(encode(t)) for t in b[1].to_pylist()], pa.int32())], names=[key, "n_tokens"])
 
@@ -84,8 +99,16 @@ def fullest(left: np.ndarray, room: int) -> dict[int, int]:
     return chosen
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container number of each item; sizes from 1 to capacity. Equal items are taken in their order."""
+def pack(sizes: np.ndarray, capacity: int, seeds: tuple[float, ...] = SEEDS) -> np.ndarray:
+    """The container number of each item; sizes from 1 to capacity. Equal items are taken in their order.
+
+    Packed once for each of the seeds, and the packing with the fewest containers, the first of equals, is taken.
+    """
+    return min((_pack(sizes, capacity, seed * capacity) for seed in seeds), key=lambda bins: bins.max(initial=-1))
+
+
+def _pack(sizes: np.ndarray, capacity: int, seed: float) -> np.ndarray:
+    """A container begins with the longest text left if that is longer than seed, and is made as full as can be."""
     order = np.argsort(sizes, kind="stable")
     left = np.bincount(sizes, minlength=capacity + 1)
     nxt = np.concatenate([[0], np.cumsum(left)[:-1]])
@@ -94,10 +117,13 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     while remaining:
         while not left[longest]:
             longest -= 1
-        left[longest] -= 1
-        chosen = fullest(left, capacity - longest)
-        left[longest] += 1
-        chosen[longest] = chosen.get(longest, 0) + 1
+        if longest > seed:
+            left[longest] -= 1
+            chosen = fullest(left, capacity - longest)
+            left[longest] += 1
+            chosen[longest] = chosen.get(longest, 0) + 1
+        else:
+            chosen = fullest(left, capacity)
         for size, n in chosen.items():
             out[order[nxt[size] : nxt[size] + n]] = n_bin
             nxt[size] += n
@@ -116,7 +142,7 @@ def _round(items: DataFrame, shards: DataFrame, name: str) -> DataFrame:
         fill = np.bincount(bins, weights=rows["n_tokens"]).astype(np.int64)[bins]
         return pd.DataFrame({"target_id": rows["target_id"], "bin": [f"{name}{key[1]}-{b}" for b in bins], "doc_id": rows["doc_id"], "piece": rows["piece"], "n_tokens": rows["n_tokens"], "fill": fill})
 
-    spread = items.join(F.broadcast(shards), "target_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("n_shards")))
+    spread = items.join(F.broadcast(shards), "target_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(name)), F.col("n_shards")))
     return spread.groupBy("target_id", "shard").applyInPandas(packed, _PLACED)
 
 
@@ -150,8 +176,8 @@ def fill_containers(docs: DataFrame, targets: DataFrame, key: str = "doc_id", te
         shards = {t: max(1, math.ceil(m / shard_items)) for t, m in n.items()}
         table = spark.createDataFrame([(t, s) for t, s in shards.items()], "target_id INT, n_shards INT")
         out = materialize(_round(todo, table, f"r{k}s")).join(F.broadcast(caps), "target_id").join(F.broadcast(table), "target_id")
-        total = sum(shards.values())
-        final = total == len(shards) or total > before / 2  # one shard each, or packing again gains little
+        total = sum(n.values())
+        final = all(x == 1 for x in shards.values()) or total > WORTH * before  # one shard each, or packing again gains little
         last = F.lit(True) if final else (F.col("n_shards") == 1) | (F.col("fill") >= again * F.col("capacity"))
         placed.append(out.where(last).select("target_id", "bin", "doc_id", "piece", "n_tokens"))
         todo, k, before = out.where(~last).select("target_id", "capacity", "doc_id", "piece", "n_tokens"), k + 1, total
@@ -160,3 +186,14 @@ def fill_containers(docs: DataFrame, targets: DataFrame, key: str = "doc_id", te
     for p in placed:
         full = full.unionByName(p)
     return full.join(F.broadcast(caps), "target_id").select("target_id", "bin", F.col("doc_id").alias(key), "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), "n_tokens")
+
+
+def fill_report(docs: DataFrame, targets: DataFrame, **options: object) -> DataFrame:
+    """(target_id, containers, least, fill): the containers of fill_containers, a number that no packing can be below, and
+    the share of their room that is used. least counts the full pieces and, of the remainders, their room or those that
+    are longer than half a container, whichever is more."""
+    placed = fill_containers(docs, targets, **options).join(F.broadcast(targets.select("target_id", "capacity_tokens")), "target_id")
+    bins = placed.groupBy("target_id", "capacity_tokens", "bin").agg(F.sum("n_tokens").cast("bigint").alias("used"), F.count_if(F.col("n_tokens") * 2 > F.col("capacity_tokens")).alias("large"))
+    room = bins.groupBy("target_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("used"), F.sum("large").alias("large"))
+    least = F.greatest(F.ceil(F.col("used") / F.col("capacity_tokens")), "large")
+    return room.select("target_id", "containers", least.cast("bigint").alias("least"), (F.col("used") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))

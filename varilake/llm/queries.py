@@ -40,10 +40,20 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(read_table(spark, d, "documents"), read_table(spark, d, "pack_targets"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, beside a bound that no packing can be below."""
+    return packing.fill_report(read_table(spark, d, "documents"), read_table(spark, d, "pack_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a budget of one word edit: passages that were slightly changed count too."""
+    return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), edits=1)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(read_table(spark, d, "documents"))
 
@@ -52,7 +62,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(read_table(spark, d, "documents")).select("doc_id", "redacted")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_percentiles, p7_pack, p8_found, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_percentiles, p7_pack, p7_fill, p8_found, p8_edits, p9_found, p9_redacted)}
 
 _QUAL = "^[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
 SQL = {
