@@ -76,7 +76,7 @@ def bind(*parts: Genotypes, mode: str = "intersect", absent_as: str = "missing",
         offers = p.loci if outgroup or recover_loci else live
         ids = offers.groupBy(*LOCUS).agg(F.min("row_id").alias("_from"))
         pairs = target.select("row_id", *LOCUS).alias("t").join(ids.alias("o"), _same("t", "o")).select(F.col("t.row_id").alias("_to"), F.col("o._from").alias("row_id"))
-        gt = p.gt.where(F.col("sample_idx").isin([r["sample_idx"] for r in rows])).join(pairs, "row_id").drop("row_id").withColumnRenamed("_to", "row_id")
+        gt = p.gt.join(p.sample_list(), "sample_idx", "left_semi").join(pairs, "row_id").drop("row_id").withColumnRenamed("_to", "row_id")
         pieces.append(gt.withColumn("sample_idx", (F.col("sample_idx") + offset).cast("int")).select(*GENOTYPE_COLUMNS))
         everyone += [(r["sample_idx"] + offset, r["sample"], r["grp"]) for r in rows]
         offset += max((r["sample_idx"] for r in rows), default=-1) + 1
@@ -93,12 +93,13 @@ def bind(*parts: Genotypes, mode: str = "intersect", absent_as: str = "missing",
 def fill_gaps(gt: DataFrame, variants: DataFrame, samples: DataFrame, absent_as: str) -> DataFrame:
     """gt with a row for every variant and sample. The samples are a bounded list: each variant looks up which of them
     it has, and only the missing ones become rows; the full grid is never joined."""
-    every = [(r[0], r[1]) for r in samples.select("sample_idx", "sample").collect()]
-    has = gt.groupBy("row_id").agg(F.collect_set("sample_idx").alias("_has"))
-    listed = F.array(*(F.lit(i) for i, _ in every))
-    gaps = variants.select("row_id").join(has, "row_id", "left").select("row_id", F.explode(F.array_except(listed, F.coalesce("_has", F.array().cast("array<int>")))).alias("sample_idx"))
+    every = [(r[0], r[1]) for r in samples.orderBy("sample_idx").select("sample_idx", "sample").collect()]
+    placed = F.broadcast(samples.sparkSession.createDataFrame([(o, i, s) for o, (i, s) in enumerate(every)], "o INT, sample_idx INT, sample STRING"))
+    has = gt.join(placed.drop("sample"), "sample_idx").groupBy("row_id").agg(F.collect_set("o").alias("_has"))
+    listed = F.sequence(F.lit(0), F.lit(len(every) - 1)) if every else F.array().cast("array<int>")
+    gaps = variants.select("row_id").join(has, "row_id", "left").select("row_id", F.explode(F.array_except(listed, F.coalesce("_has", F.array().cast("array<int>")))).alias("o"))
     allele, text = (F.lit(0), "0/0") if absent_as == "hom_ref" else (F.lit(None), "./.")
-    filled = gaps.join(F.broadcast(samples.select("sample_idx", "sample")), "sample_idx").select(
+    filled = gaps.join(placed, "o").select(
         "row_id", "sample", "sample_idx", allele.cast("int").alias("a1"), allele.cast("int").alias("a2"), F.lit(None).cast("boolean").alias("phased"), F.lit(text).alias("fmt"), *(F.lit(None).cast("double").alias(c) for c in ("dp", "gq", "adr"))
     )
     return gt.unionByName(filled)

@@ -105,10 +105,12 @@ def filter_missing(data: Genotypes, threshold: float = 0.5, f_invar: bool = True
 
 def restrict_samples(data: Genotypes, samples: DataFrame, f_invar: bool = True, strict_poly: bool = False) -> Genotypes:
     """To the given rows of the samples. Genotypes of variants that are not live are let go, for good."""
-    ids = [r[0] for r in samples.select("sample_idx").collect()]
+    ids = [(r[0],) for r in samples.select("sample_idx").collect()]
     if not ids:
         raise ValueError("no sample is left")
-    out = data.with_samples(data.samples.where(F.col("sample_idx").isin(ids)))
+    # the list, not its plan: a filter by missingness is not computed anew by whoever looks at the samples
+    listed = F.broadcast(data.spark.createDataFrame(ids, "sample_idx INT"))
+    out = data.with_samples(data.samples.join(listed, "sample_idx", "left_semi"))
     out = out.with_genotypes(out.live())
     return filter_invariant(out, strict_poly) if f_invar and len(ids) > 1 else out
 
@@ -136,6 +138,19 @@ def mask_coverage(data: Genotypes, threshold: float = 10) -> Genotypes:
     return _rewritten(data, none, none, low, F.when(F.col("phased"), ".|.").otherwise("./."))
 
 
+def coverage_report(data: Genotypes, threshold: float = 10) -> dict[str, int]:
+    """Of the live genotypes: how many are called, and how many of these mask_coverage makes missing."""
+    low = called() & (F.coalesce("dp", F.lit(-1.0)) < threshold)
+    return data.live("row_id", "sample_idx", "a1", "a2", "dp").agg(F.count_if(low).alias("masked"), F.count_if(called()).alias("called")).first().asDict()
+
+
+def adr_report(data: Genotypes, threshold: float = 0.1) -> dict[str, int]:
+    """Of the live genotypes: called heterozygotes, and how many of these filter_adr changes at either end."""
+    het = called() & (F.col("a1") != F.col("a2"))
+    counts = {"low": het & (F.col("adr") < threshold), "high": het & (F.col("adr") > 1 - threshold), "heterozygotes": het}
+    return data.live("row_id", "sample_idx", "a1", "a2", "adr").agg(*(F.count_if(c).alias(k) for k, c in counts.items())).first().asDict()
+
+
 def keep_covered(data: Genotypes, threshold: float = 10, strict_poly: bool = False) -> Genotypes:
     """Variants with at least two calls at or above the depth that differ among them."""
     gt = data.gt.join(data.sample_list(), "sample_idx", "left_semi") if "samples" in data.filtered else data.gt

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
+import warnings
+from collections.abc import Iterable
 from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varilake.model import Genotypes
+from varilake.model import MAX_SAMPLES, Genotypes
 from varilake.operators.filters import restrict_samples
 
 
@@ -27,30 +30,64 @@ def read_sample_table(path: str) -> list[dict[str, str | None]]:
     return [dict(zip(names, [*map(clean, cut(line)), *[None] * len(names)], strict=False)) for line in lines[1:]]
 
 
+def _clean(value: object) -> str | None:
+    text = None if value is None else str(value).strip()
+    return None if text in ("", "NA") else text
+
+
+def sample_rows(table: list[dict[str, str | None]] | DataFrame, columns: list[str]) -> list[dict[str, str | None]]:
+    """Columns of a small table as trimmed text, empty and NA being None; at most MAX_SAMPLES rows, else an error."""
+    rows = [r.asDict() for r in table.select(*columns).limit(MAX_SAMPLES + 1).collect()] if isinstance(table, DataFrame) else table
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"a sample table of more than {MAX_SAMPLES} rows")
+    return [{c: _clean(r.get(c)) for c in columns} for r in rows]
+
+
+def _warn_unknown(names: Iterable[str], known: Iterable[str], what: str) -> None:
+    if missing := sorted(set(names) - set(known)):
+        warnings.warn(f"{len(missing)} {what}: {missing[:5]}", stacklevel=3)
+
+
 def set_groups(data: Genotypes, strata: list[dict[str, str | None]] | DataFrame, sample: str = "id", group: str = "pop") -> Genotypes:
-    """Gives each sample the group of its name; a name not listed has none. A name with two groups is an error."""
-    rows = [r.asDict() for r in strata.select(sample, group).collect()] if isinstance(strata, DataFrame) else strata
+    """Gives each sample the group of its name; a name not listed has none, with a warning. A name with two groups is an error."""
     of: dict[str, str | None] = {}
-    for r in rows:
+    for r in sample_rows(strata, [sample, group]):
         if r[sample] in of and of[r[sample]] != r[group]:
             raise ValueError(f"sample {r[sample]!r} has more than one group")
         if r[sample] is not None:
             of[r[sample]] = r[group]
+    _warn_unknown([r[0] for r in data.samples.select("sample").collect()], [k for k, v in of.items() if v is not None], "samples have no group")
     table = data.spark.createDataFrame([(k, v) for k, v in of.items()], "sample STRING, grp STRING")
     return replace(data, samples=data.samples.drop("grp").join(F.broadcast(table), "sample", "left").select("sample_idx", "sample", "grp"))
 
 
-def rename_samples(data: Genotypes, names: dict[str, str]) -> Genotypes:
-    """New names for samples; swaps are allowed. The result must be unique, and no name empty or with a tab.
+def rename_samples(data: Genotypes, names: dict[str, str] | list[dict[str, str | None]] | DataFrame, update_groups: bool = False) -> Genotypes:
+    """New names for samples: a mapping, or a table with id, new_id and, for update_groups, pop; swaps are allowed.
 
-    Genotypes carry sample_idx, so only their name column is looked up again, by a broadcast of the samples.
+    The result must be unique, and no name empty, or with a tab or line break. Names that are not samples are ignored
+    with a warning; two new names for one sample are an error. With update_groups the samples listed get the group in
+    pop, if it has one. Genotypes carry sample_idx, so only their name column is looked up again, by a broadcast.
     """
+    if isinstance(names, dict):
+        if update_groups:
+            raise ValueError("update_groups needs a table with pop")
+        names = [{"id": k, "new_id": v} for k, v in names.items()]
+        rows = [{"id": r["id"], "new_id": r["new_id"], "pop": None} for r in names]
+    else:
+        rows = sample_rows(names, ["id", "new_id", *(["pop"] if update_groups else [])])
+    of: dict[str, dict[str, str | None]] = {}
+    for r in rows:
+        if r["id"] in of and of[r["id"]]["new_id"] != r["new_id"]:
+            raise ValueError(f"sample {r['id']!r} has more than one new name")
+        of[r["id"]] = r
     now = [r[0] for r in data.samples.select("sample").collect()]
-    new = [names.get(x, x) for x in now]
-    if len(set(new)) != len(new) or any(not x or "\t" in x for x in new):
-        raise ValueError("new sample names must be unique, not empty and without tabs")
-    table = data.spark.createDataFrame([(k, v) for k, v in names.items() if k in set(now)], "sample STRING, _new STRING")
-    samples = data.samples.join(F.broadcast(table), "sample", "left").select("sample_idx", F.coalesce("_new", "sample").alias("sample"), "grp")
+    _warn_unknown(of, now, "names are no samples")
+    new = [of[x]["new_id"] if x in of else x for x in now]
+    if len(set(new)) != len(new) or any(not x or re.search(r"[\t\r\n]", x) for x in new):
+        raise ValueError("new sample names must be unique, not empty and without tabs and line breaks")
+    table = data.spark.createDataFrame([(x, of[x]["new_id"], of[x].get("pop")) for x in now if x in of], "sample STRING, _new STRING, _pop STRING")
+    group = F.coalesce("_pop", "grp") if update_groups else F.col("grp")
+    samples = data.samples.join(F.broadcast(table), "sample", "left").select("sample_idx", F.coalesce("_new", "sample").alias("sample"), group.alias("grp"))
     gt = data.gt.drop("sample").join(F.broadcast(samples.select("sample_idx", "sample")), "sample_idx").select(*data.gt.columns)
     return replace(data, samples=samples, gt=gt)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import sys
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from varilake.functions.numbering import numbered
 from varilake.model import Genotypes
 from varilake.operators.filters import snv_blocks
-from varilake.plans.layout import PROGRAM, Layout, alt_copies, base_of, first_base, layout, require_tokens, whole, write_blocks, write_lines
+from varilake.plans.layout import PROGRAM, Layout, alt_copies, base_of, dense, first_base, layout, require_tokens, whole, write_blocks, write_lines
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -190,14 +191,19 @@ def write_migrate(data: Genotypes, path: str, keep_groups: Groups = None, block_
                     out.write(f"{sizes[at]} {lay.group_names[at]}\n")
                 out.write(line + "\n")
         return
-    labels = [r[0] for r in migrate_blocks(data, keep_groups, block_size, method).orderBy("n").select("label").toLocalIterator()]
+    blocks = migrate_blocks(data, keep_groups, block_size, method)
     width = max(10, *(len(n.encode()) + 2 for n in lay.names))
     prefix = []
     for i, (n, g) in enumerate(zip(lay.names, lay.groups, strict=True)):
         group = "" if i and g == lay.groups[i - 1] else f"{sizes[lay.group_names.index(g)]} {g}\n"
         prefix += [f"{group if h == 1 else ''}{f'{n}_{h}':<{width}}" for h in (1, 2)]
-    head = [f"{'N ' if method == 'N' else ''}{len(sizes)} {len(labels)} {TITLE}", " ".join(labels)]
-    write_blocks(migrate_sequences(data, keep_groups), path, prefix, "", head)
+    with open(path, "w") as out:
+        out.write(f"{'N ' if method == 'N' else ''}{len(sizes)} {blocks.count()} {TITLE}\n")
+        for i, r in enumerate(blocks.orderBy("n").select("label").toLocalIterator(prefetchPartitions=True)):
+            out.write((" " if i else "") + r[0])
+        out.write("\n")
+    write_blocks(migrate_sequences(data, keep_groups), path + ".part", prefix, "")
+    _append(path, path + ".part")
 
 
 def ped(data: Genotypes, keep_groups: Groups = None, allele_code: str = "nucleotide") -> DataFrame:
@@ -267,7 +273,16 @@ def bayesass(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
     return wide.select("row_id", "locus", F.posexplode("codes").alias("o", "c")).join(names, "o").select("row_id", "o", F.concat_ws(" ", "who", "locus", "c").alias("line"))
 
 
+# What the program that reads the file takes at most
+BAYESASS_LIMITS = {"loci": 100_000, "populations": 100, "individuals": 20_000}
+
+
 def write_bayesass(data: Genotypes, path: str, keep_groups: Groups = None) -> None:
+    """More loci, populations or individuals than the reading program takes are a warning."""
+    lay = layout(data, keep_groups)
+    sizes = {"loci": lay.variants.count(), "populations": len(lay.group_names), "individuals": len(lay.names)}
+    if over := {k: n for k, n in sizes.items() if n > BAYESASS_LIMITS[k]}:
+        warnings.warn(f"more than the program reads: {over}", stacklevel=2)
     write_lines(bayesass(data, keep_groups), path, ["o", "row_id"])
 
 
@@ -277,12 +292,12 @@ def write_bayesass(data: Genotypes, path: str, keep_groups: Groups = None) -> No
 def population_counts(lay: Layout) -> DataFrame:
     """row_id, g, ref, alt: called alleles of every variant and group, zeros included."""
     ref = (F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int")
-    counted = lay.cells().groupBy("row_id", "grp").agg(F.sum(ref).alias("ref"), (2 * F.count(F.lit(1)) - F.sum(ref)).alias("alt"))
-    held = counted.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("grp", F.struct("ref", "alt")))).alias("_m"))
-    groups = F.array(*(F.struct(F.lit(i).alias("g"), F.lit(n).alias("n")) for i, n in enumerate(lay.group_names)))
-    each = lay.variants.join(held, "row_id", "left").withColumn("_g", F.explode(groups))
-    at = F.try_element_at("_m", F.col("_g.n"))
-    return each.select("row_id", "pos", F.col("ref").alias("ref_base"), F.col("alt").alias("alt_base"), F.col("_g.g").alias("g"), F.coalesce(at["ref"], F.lit(0)).alias("ref"), F.coalesce(at["alt"], F.lit(0)).alias("alt"))
+    names = F.broadcast(lay.data.spark.createDataFrame(list(enumerate(lay.group_names)), "o INT, grp STRING"))
+    counted = lay.cells().drop("o").join(names, "grp").groupBy("row_id", "o").agg(F.sum(ref).alias("ref"), (2 * F.count(F.lit(1)) - F.sum(ref)).alias("alt"))
+    held = counted.groupBy("row_id").agg(F.collect_list(F.struct("o", F.struct("ref", "alt").alias("n"))).alias("_p"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("alt"))
+    each = lay.variants.join(held, "row_id", "left").withColumn("_g", F.explode(dense(F.col("_p"), len(lay.group_names), "n", "struct<ref:bigint,alt:bigint>", zero)))
+    return each.select("row_id", "pos", F.col("ref").alias("ref_base"), F.col("alt").alias("alt_base"), F.col("_g.o").alias("g"), F.col("_g.n.ref").alias("ref"), F.col("_g.n.alt").alias("alt"))
 
 
 def treemix(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
@@ -397,6 +412,29 @@ def plink_fam(lay: Layout, sex: str | list[str] | None = None, pheno: str | list
     return [[g, s, "0", "0", x, p] for g, s, x, p in zip(lay.groups, lay.names, _full_vector(sex, "0", n, "sex"), _full_vector(pheno, "-9", n, "pheno"), strict=True)]
 
 
+def fam_lines(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
+    """o, line of the .fam file."""
+    fam = plink_fam(layout(data, keep_groups))
+    return data.spark.createDataFrame([(o, "\t".join(f)) for o, f in enumerate(fam)], "o INT, line STRING")
+
+
+def map_lines(data: Genotypes, keep_groups: Groups = None, chrom_code: str = "auto") -> DataFrame:
+    """row_id, line of the .map file."""
+    return plink_variants(data, keep_groups, chrom_code).select("row_id", F.concat_ws("\t", "code", "id", "cm", "pos").alias("line"))
+
+
+def chrom_map_lines(data: Genotypes, keep_groups: Groups = None, chrom_code: str = "auto", otherwise: str = "zero") -> DataFrame:
+    """first, line: each chrom and its code, by first appearance, if any chrom is recoded; else no row."""
+    codes = chrom_codes(layout(data, keep_groups).variants, chrom_code, otherwise)
+    return codes.select("first", F.concat_ws("\t", "chrom", "code").alias("line"), (~F.col("chrom").eqNullSafe(F.col("code"))).alias("_new")).withColumn("_any", F.bool_or("_new").over(Window.partitionBy())).where("_any").select("first", "line")  # one row per chrom
+
+
+def ind_lines(data: Genotypes, keep_groups: Groups = None, sex: str | list[str] | None = None) -> DataFrame:
+    """o, line of the .ind file."""
+    lay = layout(data, keep_groups)
+    return data.spark.createDataFrame([(o, f"{n}\t{s}\t{g}") for o, (n, s, g) in enumerate(zip(lay.names, _full_vector(sex, "U", len(lay.names), "sex"), lay.groups, strict=True))], "o INT, line STRING")
+
+
 def _write_map(data: Genotypes, keep_groups: Groups, path: str, chrom_code: str, otherwise: str = "zero") -> None:
     codes = chrom_codes(layout(data, keep_groups).variants, chrom_code, otherwise)
     if not codes.where(~F.col("chrom").eqNullSafe(F.col("code"))).isEmpty():

@@ -23,6 +23,20 @@ PROGRAM = "varilake"
 _BETWEEN = "\x02"
 
 
+def dense(pairs: Column, n: int, name: str, kind: str, missing: Column) -> Column:
+    """(o, name) pairs with one for every o from 0 to n - 1, in order: absent ones are added and all are sorted, so a row
+    costs n log n whatever n is. Of an o that occurs twice, both stay. Null pairs are none."""
+    pairs = F.coalesce(pairs, F.array().cast(f"array<struct<o:int,{name}:{kind}>>"))
+    absent = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.transform(pairs, lambda x: x["o"])) if n else F.array().cast("array<int>")
+    return F.array_sort(F.concat(pairs, F.transform(absent, lambda o: F.struct(o.alias("o"), missing.alias(name)))))
+
+
+def places(data: Genotypes) -> tuple[DataFrame, int]:
+    """(sample_idx, o): the place of each sample in order, from 0, as a broadcast of the bounded list of samples; how many."""
+    order = [r[0] for r in data.samples.orderBy("sample_idx").select("sample_idx").collect()]
+    return F.broadcast(data.spark.createDataFrame([(i, o) for o, i in enumerate(order)], "sample_idx INT, o INT")), len(order)
+
+
 @dataclass(frozen=True)
 class Layout:
     """variants: row_id, chrom, pos, ref, alt, id, locus. names, groups: of the samples, in output order."""
@@ -49,11 +63,10 @@ class Layout:
 
     def by_variant(self, code: Column, missing: str) -> DataFrame:
         """variants with codes: one per sample in order, missing where there is no call. code: of a1, a2, ref, alt."""
-        held = self.cells("ref", "alt").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("o", code.alias("c")))).alias("_m"))
-        places = F.sequence(F.lit(0), F.lit(max(len(self.names) - 1, 0)))
-        empty = F.create_map().cast("map<int,string>")
-        joined = self.variants.join(held, "row_id", "left").withColumn("_m", F.coalesce("_m", empty))
-        return joined.withColumn("codes", F.transform(places, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(missing)))).drop("_m")
+        held = self.cells("ref", "alt").groupBy("row_id").agg(F.collect_list(F.struct("o", code.alias("c"))).alias("_p"))
+        joined = self.variants.join(held, "row_id", "left")
+        every = dense(F.col("_p"), len(self.names), "c", "string", F.lit(missing))
+        return joined.withColumn("codes", F.transform(every, lambda x: x["c"])).drop("_p")
 
     def by_sample(self, code: Column, missing: str, sep: str) -> DataFrame:
         """o, block, text: each sample's codes of one block of variants, in row_id order."""

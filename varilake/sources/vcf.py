@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varilake.model import MAX_SAMPLES, Genotypes, store
 from varilake.operators.profile import numeric_text
-from varilake.plans.layout import PROGRAM, write_lines
+from varilake.plans.layout import PROGRAM, dense, places, write_lines
 from varilake.session import written_folder
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -205,15 +205,14 @@ def update_info(data: Genotypes) -> DataFrame:
 
 def vcf_lines(data: Genotypes, updated: bool = True) -> DataFrame:
     """row_id, line: one VCF line per live variant with a position, the samples in order; empty fields are `.`."""
-    order = [r[0] for r in data.samples.orderBy("sample_idx").select("sample_idx").collect()]
-    gt = data.gt.join(data.sample_list(), "sample_idx", "left_semi") if "samples" in data.filtered else data.gt
-    held = gt.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "fmt"))).alias("_m"))
+    order, n = places(data)
+    held = data.gt.join(order, "sample_idx").groupBy("row_id").agg(F.collect_list(F.struct("o", "fmt")).alias("_p"))
     v = data.variants.where("pos IS NOT NULL")
     if updated:
         v = v.drop("info").join(update_info(data), "row_id")
     dot = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("."))
     fields = [dot(F.col("pos").cast("bigint").cast("string")) if c == "pos" else dot(F.col(c)) for c in FIXED]
-    cells = F.transform(F.array(*(F.lit(i) for i in order)), lambda i: dot(F.try_element_at(F.coalesce("_m", F.create_map().cast("map<int,string>")), i)))
+    cells = F.transform(dense(F.col("_p"), n, "fmt", "string", F.lit(".")), lambda x: dot(x["fmt"]))
     return v.join(held, "row_id", "left").select("row_id", F.concat_ws("\t", *fields, cells).alias("line"))
 
 
