@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varilake.model import MAX_SAMPLES, Genotypes
@@ -110,14 +110,18 @@ def extract_groups(data: Genotypes, groups: list[str], keep: bool = True, f_inva
     return restrict_samples(data, data.samples.where(chosen if keep else ~chosen), f_invar, strict_poly)
 
 
+def draw_key(seed: int | None, *columns: str) -> Column:
+    """32 hexadecimal digits that are as good as random: MD5 of the columns and the seed. No seed: a new one each time."""
+    return F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in columns), F.lit(str(random.getrandbits(62) if seed is None else seed))))
+
+
 def sub_snvs(data: Genotypes, n_snvs: int = 10_000, seed: int | None = None) -> Genotypes:
     """Exactly n_snvs variants at random (all if there are no more); a seed makes the draw repeatable.
 
     The draw orders by a hash of the row_id and the seed, so it does not depend on partitions; Spark keeps the first
     n_snvs in every task and merges those.
     """
-    salt = F.lit(random.getrandbits(62) if seed is None else seed).cast("bigint")
-    chosen = data.variants.select("row_id").orderBy(F.xxhash64("row_id", salt), "row_id").limit(n_snvs)
+    chosen = data.variants.select("row_id").orderBy(draw_key(seed, "row_id"), "row_id").limit(n_snvs)
     return data.with_variants(data.variants.join(chosen, "row_id", "left_semi"))
 
 
@@ -135,7 +139,7 @@ def sub_snvs_stratified(data: Genotypes, n_snvs: int = 1000, seed: int | None =
     short = n_snvs - base.agg(F.sum("q")).first()[0]
     extra = base.orderBy(F.desc("r"), F.desc("m"), "_c").limit(short).select(F.col("_c").alias("_e"))
     quota = base.join(extra, F.col("_c").eqNullSafe(F.col("_e")), "left").select("_c", (F.col("q") + F.when(F.col("_e").isNotNull(), 1).otherwise(0)).alias("q"))
-    key = F.xxhash64("row_id", F.lit(random.getrandbits(62) if seed is None else seed).cast("bigint"))
+    key = draw_key(seed, "row_id")
     ranked = data.variants.select("row_id", "chrom").withColumn("_i", F.row_number().over(Window.partitionBy("chrom").orderBy(key, "row_id"))).where(F.col("_i") <= n_snvs)
     chosen = ranked.join(quota, F.col("chrom").eqNullSafe(F.col("_c"))).where("_i <= q").select("row_id")
     return data.with_variants(data.variants.join(chosen, "row_id", "left_semi"))

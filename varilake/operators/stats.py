@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varilake.model import Genotypes
 from varilake.operators.metrics import called, per_sample
+from varilake.operators.samples import draw_key
 
 MIN_ALLELES = 4
 """Called alleles that a variant needs in a group to count for F, theta and pi."""
@@ -100,15 +101,20 @@ def missing_table(data: Genotypes) -> DataFrame:
     return m.select("sample", F.col("grp").alias("group"), n.alias("missing_n"), F.try_divide(n, F.col("total_loci")).alias("missing_p"), "total_loci")
 
 
-def coverage_points(data: Genotypes, max_points_per_sample: int = 5000, seed: int = 0) -> DataFrame:
-    """sample, group, dp, log10_dp of called genotypes: each is drawn with probability max_points / variants.
+def drawn_points(data: Genotypes, max_points_per_sample: int = 5000, seed: int = 0) -> DataFrame:
+    """Called genotypes with a depth, each drawn with probability max_points / variants.
 
     The draw is a hash of row, sample and seed: it is repeatable and does not depend on partitions.
     """
     n = data.variants.count()
     p = 1.0 if n <= max_points_per_sample else max_points_per_sample / n
-    u = F.pmod(F.xxhash64("row_id", "sample_idx", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = data.live("row_id", "sample_idx", "a1", "a2", "dp").where(called() & F.col("dp").isNotNull() & (u < p))
+    u = F.conv(F.substring(draw_key(seed, "row_id", "sample_idx"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return data.live("row_id", "sample_idx", "a1", "a2", "dp").where(called() & F.col("dp").isNotNull() & (u < p))
+
+
+def coverage_points(data: Genotypes, max_points_per_sample: int = 5000, seed: int = 0) -> DataFrame:
+    """sample, group, dp, log10_dp of drawn_points."""
+    drawn = drawn_points(data, max_points_per_sample, seed)
     return drawn.join(data.sample_list("sample", "grp"), "sample_idx").select("sample", F.col("grp").alias("group"), "dp", F.when(F.col("dp") > 0, F.log10("dp")).alias("log10_dp"))
 
 

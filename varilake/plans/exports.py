@@ -59,10 +59,18 @@ def structure(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
 
 
 def write_structure(data: Genotypes, path: str, keep_groups: Groups = None, method: str = "S") -> None:
-    lay = layout(data, keep_groups)
-    extra = "" if method == "S" else "\t0\t0\t0\t0"
-    prefix = [f"{n}\t{lay.group_names.index(g) + 1}{extra}\t" for n, g in zip(lay.names, lay.groups, strict=True) for _ in range(2)]
-    write_blocks(structure(data, keep_groups), path, prefix, "\t")
+    write_blocks(structure(data, keep_groups), path, _structure_prefixes(layout(data, keep_groups), method), "\t")
+
+
+def _structure_prefixes(lay: Layout, method: str) -> list[str]:
+    extra, number = "" if method == "S" else "\t0\t0\t0\t0", {g: i + 1 for i, g in enumerate(lay.group_names)}
+    return [f"{n}\t{number[g]}{extra}\t" for n, g in zip(lay.names, lay.groups, strict=True) for _ in range(2)]
+
+
+def structure_prefixes(data: Genotypes, keep_groups: Groups = None, method: str = "S") -> DataFrame:
+    """o, prefix of each of the two lines of a sample: its name, the number of its group, with method F four columns of 0."""
+    rows = enumerate(_structure_prefixes(layout(data, keep_groups), method))
+    return data.spark.createDataFrame(list(rows), "o INT, prefix STRING")
 
 
 def write_fstructure(data: Genotypes, path: str, keep_groups: Groups = None) -> None:
@@ -122,10 +130,20 @@ def snapp(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
     return layout(data, keep_groups).by_sample(alt_copies(), "?", "")
 
 
-def _nexus(lay: Layout, blocks: DataFrame, path: str, kind: str) -> None:
+def nexus_labels(data: Genotypes, keep_groups: Groups = None) -> DataFrame:
+    """o, label: each sample's name as the matrix shows it, padded to the longest and three more."""
+    lay = layout(data, keep_groups)
+    return data.spark.createDataFrame(list(enumerate(_nexus_labels(lay))), "o INT, label STRING")
+
+
+def _nexus_labels(lay: Layout) -> list[str]:
     width = max((len(n.encode()) for n in lay.names), default=0) + 3
+    return [f"    {n}{' ' * (width - len(n.encode()))}" for n in lay.names]
+
+
+def _nexus(lay: Layout, blocks: DataFrame, path: str, kind: str) -> None:
     head = ["#NEXUS", f"[Data written by {PROGRAM}]", "BEGIN DATA;", f"  DIMENSIONS NTAX={len(lay.names)} NCHAR={lay.variants.count()};", f"  FORMAT DATATYPE={kind} MISSING=? GAP=- INTERLEAVE=NO;", "  MATRIX"]
-    write_blocks(blocks, path, [f"    {n}{' ' * (width - len(n.encode()))}" for n in lay.names], "", head, ["  ;", "END;"])
+    write_blocks(blocks, path, _nexus_labels(lay), "", head, ["  ;", "END;"])
 
 
 def write_nexus(data: Genotypes, path: str, keep_groups: Groups = None) -> None:
@@ -477,14 +495,19 @@ def write_bed(data: Genotypes, path: str, keep_groups: Groups = None, sex: str |
     _write_map(data, keep_groups, path, chrom_code)
 
 
+def pop_lines(data: Genotypes, keep_groups: Groups = None, reference_groups: list[str] | None = None) -> DataFrame:
+    """o, line of the .pop file: the group of a reference sample, `-` for the others; all are reference if none is named."""
+    groups = layout(data, keep_groups).groups
+    return data.spark.createDataFrame([(o, g if not reference_groups or g in reference_groups else "-") for o, g in enumerate(groups)], "o INT, line STRING")
+
+
 def write_admixture(data: Genotypes, path: str, keep_groups: Groups = None, sex: str | list[str] | None = None, pheno: str | list[str] | None = None, chrom_code: str = "zero", supervised: bool = False, reference_groups: list[str] | None = None) -> None:
     """A bed set, and with supervised a .pop file: the group of reference samples, `-` for the others."""
     if reference_groups and not supervised:
         raise ValueError("reference_groups needs supervised")
     write_bed(data, path, keep_groups, sex, pheno, chrom_code)
     if supervised:
-        with open(path + ".pop", "w") as out:
-            out.writelines((g if not reference_groups or g in reference_groups else "-") + "\n" for g in layout(data, keep_groups).groups)
+        write_lines(pop_lines(data, keep_groups, reference_groups), path + ".pop", ["o"])
 
 
 def eigenstrat_snp(data: Genotypes, keep_groups: Groups = None, chrom_code: str = "auto") -> DataFrame:

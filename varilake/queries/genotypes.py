@@ -12,6 +12,7 @@ from varilake.operators import bind as b
 from varilake.operators import filters as f
 from varilake.operators import metrics, samples, stats
 from varilake.plans import exports as x
+from varilake.plans import sizing
 from varilake.sources import vcf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,12 +65,13 @@ _query("sample_metrics", f"{_SAMPLE} SELECT * FROM sm")(lambda spark, d: metrics
 
 
 @_query("summary", f"""{_BASE}, a AS (SELECT COUNT(*) AS variants, COUNT(CASE WHEN is_biallelic AND NOT is_indel THEN 1 END) AS biallelic_snvs, COUNT(CASE WHEN NOT is_biallelic AND NOT is_indel THEN 1 END) AS multiallelic_snvs,
-      COUNT(CASE WHEN is_indel THEN 1 END) AS indels FROM v), p AS (SELECT COUNT(*) AS n, COUNT(CASE WHEN a1 IS NULL THEN 1 END) AS miss, COUNT(CASE WHEN phased THEN 1 END) AS phased FROM g), k AS (SELECT COUNT(*) AS samples FROM s)
-    SELECT a.*, k.samples, round(100.0 * p.miss / p.n, 6) AS missing_percent, p.phased FROM a JOIN p ON TRUE JOIN k ON TRUE""")
+      COUNT(CASE WHEN is_indel THEN 1 END) AS indels FROM v), p AS (SELECT COUNT(*) AS n, COUNT(CASE WHEN a1 IS NULL THEN 1 END) AS miss, COUNT(CASE WHEN phased THEN 1 END) AS phased FROM g), k AS (SELECT COUNT(*) AS samples FROM s),
+      z AS (SELECT string_agg(g || '=' || n, ';' ORDER BY g) AS groups FROM (SELECT COALESCE(grp, 'NA') AS g, COUNT(*) AS n FROM s GROUP BY 1))
+    SELECT a.*, k.samples, z.groups, round(100.0 * p.miss / p.n, 6) AS missing_percent, p.phased FROM a JOIN p ON TRUE JOIN k ON TRUE JOIN z ON TRUE""")
 def summary(spark: SparkSession, d: str) -> DataFrame:
     out = load(spark, d).summary()
-    row = {k: v for k, v in out.items() if k != "groups"}
-    return spark.createDataFrame([row]).withColumn("missing_percent", F.round("missing_percent", 6)).select("variants", "biallelic_snvs", "multiallelic_snvs", "indels", "samples", "missing_percent", "phased")
+    row = out | {"groups": ";".join(sorted(f"{'NA' if g is None else g}={n}" for g, n in out["groups"].items()))}
+    return spark.createDataFrame([row]).withColumn("missing_percent", F.round("missing_percent", 6)).select("variants", "biallelic_snvs", "multiallelic_snvs", "indels", "samples", "groups", "missing_percent", "phased")
 
 
 # filters
@@ -80,6 +82,7 @@ _ids("filter_biallelic", f.filter_biallelic, "is_biallelic")
 _ids("filter_indels", f.filter_indels, "NOT is_indel")
 _ids("filter_rank", f.filter_rank, "rk >= 0.4")
 _ids("filter_rpt", lambda g: f.filter_rpt(g, keep_na=True), "rpt <= 0.5 OR rpt IS NULL")
+_ids("filter_rpt_default", f.filter_rpt, "rpt <= 0.5")
 _ids("filter_paralogs", f.filter_paralogs, "rk >= 0.2 AND rpt <= 0.5")
 _JOINED = "v JOIN m ON v.row_id = m.row_id"
 _ids("filter_maf", f.filter_maf, "called > 0 AND least(sum_g / (2.0 * called), 1 - sum_g / (2.0 * called)) >= 0.05", _JOINED, _M)
@@ -117,6 +120,18 @@ _query("filter_adr_remove", f"""{_BASE}, {_PLACED} SELECT row_id, sample_idx, CA
     lambda spark, d: f.filter_adr(load(spark, d), mode="remove", f_invar=False).gt.select(*_CELL)
 )
 
+_ADR = f"""ad AS (SELECT row_id, CASE WHEN {_HET} THEN {{new}} ELSE a1 END AS a1, CASE WHEN {_HET} THEN {{new}} ELSE a2 END AS a2 FROM g)"""
+for _mode, _value in (("correct", f"CAST({_NEW} AS INT)"), ("remove", "NULL")):
+    _query(f"filter_adr_{_mode}_invariant", f"{_BASE}, {_ADR.format(new=_value)}, m AS ({_metrics('ad')}) SELECT v.row_id FROM {_JOINED} WHERE {_POLY}")(lambda spark, d, mode=_mode: f.filter_adr(load(spark, d), mode=mode).variants.select("row_id"))
+_query("coverage_report", f"{_BASE} SELECT COUNT(CASE WHEN {_LOW} THEN 1 END) AS masked, COUNT(a1) AS called FROM g")(lambda spark, d: spark.createDataFrame([f.coverage_report(load(spark, d))]))
+_query("adr_report", f"{_BASE} SELECT COUNT(CASE WHEN a1 <> a2 AND adr < 0.1 THEN 1 END) AS low, COUNT(CASE WHEN a1 <> a2 AND adr > 0.9 THEN 1 END) AS high, COUNT(CASE WHEN a1 <> a2 THEN 1 END) AS heterozygotes FROM g")(
+    lambda spark, d: spark.createDataFrame([f.adr_report(load(spark, d))])
+)
+_query("select_positions", f"{_BASE}, r AS (SELECT row_id, ROW_NUMBER() OVER (ORDER BY row_id) - 1 AS i FROM v), k AS (SELECT sample_idx, ROW_NUMBER() OVER (ORDER BY sample_idx) - 1 AS j FROM s) SELECT g.row_id, g.sample_idx, g.fmt FROM g JOIN r ON g.row_id = r.row_id JOIN k ON g.sample_idx = k.sample_idx WHERE i BETWEEN 100 AND 299 AND j % 2 = 0")(
+    lambda spark, d: (data := load(spark, d))[slice(100, 300), [i % 2 == 0 for i in range(data.samples.count())]].live("row_id", "sample_idx", "fmt")
+)
+_query("preview", f"{_BASE} SELECT row_id, chrom, pos FROM v ORDER BY row_id LIMIT 5")(lambda spark, d: load(spark, d).preview().select("row_id", "chrom", "pos"))
+
 _BLOCKS = f"{_BASE}, bl AS (SELECT v.*, floor((pos - MIN(pos) OVER (PARTITION BY chrom)) / 10000) AS block FROM v WHERE pos IS NOT NULL)"
 _query("filter_one_snv", f"{_BLOCKS} SELECT row_id FROM (SELECT row_id, ROW_NUMBER() OVER (PARTITION BY chrom, block ORDER BY pos, row_id) AS i FROM bl) WHERE i = 1")(lambda spark, d: f.filter_one_snv(load(spark, d)).variants.select("row_id"))
 _query("filter_one_snv_quality", f"{_BLOCKS} SELECT row_id FROM (SELECT row_id, ROW_NUMBER() OVER (PARTITION BY chrom, block ORDER BY qual_num DESC NULLS LAST, pos, row_id) AS i FROM bl) WHERE i = 1")(
@@ -144,16 +159,20 @@ _query("extract_groups", f"{_BASE}, {_SUB.format(where='grp IN (' + chr(39) + 'N
 _query("set_groups", f"{_BASE} SELECT sample_idx, sample, CASE WHEN plate > 0 THEN 'plate' || CAST(plate AS VARCHAR) END AS grp FROM samples")(
     lambda spark, d: samples.set_groups(load(spark, d), spark.read.parquet(f"{d}/samples.parquet").where("plate > 0").select(F.col("sample").alias("id"), F.concat(F.lit("plate"), "plate").alias("pop"))).samples
 )
-_query("rename_samples", "SELECT CAST(COUNT(*) AS BIGINT) AS n, 'ind_' || sample AS sample FROM (SELECT DISTINCT row_id, sample_idx, sample FROM gt) GROUP BY sample")(
-    lambda spark, d: samples.rename_samples(data := load(spark, d), {r[0]: f"ind_{r[0]}" for r in data.samples.select("sample").collect()}).gt.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+_query("rename_samples", f"{_BASE} SELECT row_id, sample_idx, 'ind_' || sample AS sample, fmt FROM g")(
+    lambda spark, d: samples.rename_samples(data := load(spark, d), {r[0]: f"ind_{r[0]}" for r in data.samples.select("sample").collect()}).gt.select("row_id", "sample_idx", "sample", "fmt")
 )
-_query("sub_snvs", "SELECT CAST(500 AS BIGINT) AS n, CAST(500 AS BIGINT) AS known")(
-    lambda spark, d: samples.sub_snvs(data := load(spark, d), 500, seed=1).variants.join(data.loci.select("row_id", F.lit(1).alias("k")), "row_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("known"))
+_query("rename_with_groups", "SELECT sample_idx, CASE WHEN plate = 1 THEN 'new_' || sample ELSE sample END AS sample, CASE WHEN plate = 1 THEN 'moved' ELSE grp END AS grp FROM samples")(
+    lambda spark, d: samples.rename_samples(load(spark, d), spark.read.parquet(f"{d}/samples.parquet").where("plate = 1").select(F.col("sample").alias("id"), F.concat(F.lit("new_"), "sample").alias("new_id"), F.lit("moved").alias("pop")), update_groups=True).samples
 )
+_DRAW = "md5(CAST(row_id AS VARCHAR) || ':1')"
+_query("sub_snvs", f"{_BASE} SELECT row_id FROM v ORDER BY {_DRAW}, row_id LIMIT 500")(lambda spark, d: samples.sub_snvs(load(spark, d), 500, seed=1).variants.select("row_id"))
 _query("sub_snvs_stratified", f"""{_BASE}, z AS (SELECT chrom, COUNT(*) AS m FROM v GROUP BY chrom), t AS (SELECT CAST(SUM(m) AS BIGINT) AS n FROM z), q AS (SELECT chrom, m, (1000 * m) // n AS q, (1000 * m) % n AS r FROM z JOIN t ON TRUE),
-    e AS (SELECT *, ROW_NUMBER() OVER (ORDER BY r DESC, m DESC, chrom) AS i, 1000 - CAST(SUM(q) OVER () AS BIGINT) AS short FROM q) SELECT chrom, CAST(q + CASE WHEN i <= short THEN 1 ELSE 0 END AS BIGINT) AS n FROM e WHERE q + CASE WHEN i <= short THEN 1 ELSE 0 END > 0""")(
-    lambda spark, d: samples.sub_snvs_stratified(load(spark, d), 1000, seed=1).variants.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    e AS (SELECT *, ROW_NUMBER() OVER (ORDER BY r DESC, m DESC, chrom) AS i, 1000 - CAST(SUM(q) OVER () AS BIGINT) AS short FROM q), k AS (SELECT chrom, q + CASE WHEN i <= short THEN 1 ELSE 0 END AS q FROM e),
+    o AS (SELECT row_id, chrom, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY {_DRAW}, row_id) AS i FROM v) SELECT o.row_id FROM o JOIN k ON o.chrom = k.chrom WHERE i <= q""")(
+    lambda spark, d: samples.sub_snvs_stratified(load(spark, d), 1000, seed=1).variants.select("row_id")
 )
+_query("group_sizes", f"{_BASE} SELECT grp, COUNT(*) AS n FROM s GROUP BY grp")(lambda spark, d: load(spark, d).samples.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
 
 # merging: plates 0 to 4 with good quality, and the others without indels, numbered anew
 
@@ -196,6 +215,25 @@ _bound("bind_union_homref", _UNION, "va", "vb", "1", mode="union", absent_as="ho
 _bound("bind_union_recover", _UNION, "l", "l", "0", mode="union", recover_loci=True)
 _bound("bind_outgroup", "SELECT * FROM va", "l", "l", "0", outgroup=True)
 
+_bound("bind_sparse", _UNION, "l", "l", "0", mode="union", recover_loci=True)
+
+
+def _bound_rows(name: str, target: str, allele: str, text: str, **options: object) -> None:
+    """Every genotype of the merged data set by locus and sample, with its text."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = b.bind(*_halves(spark, d), **options)
+        return out.gt.join(out.variants.select("row_id", "chrom", "pos", "ref", "alt"), "row_id").select("chrom", "pos", "ref", "alt", "sample", "a1", "a2", "phased", "fmt", "dp")
+
+    QUERIES[name] = run
+    SQL[name] = f"""{_HALVES}, t AS ({target}), c AS (SELECT * FROM ga WHERE row_id IN (SELECT row_id FROM va) UNION ALL SELECT * FROM gb WHERE row_id IN (SELECT row_id FROM vb))
+      SELECT t.chrom, t.pos, t.ref, t.alt, s.sample, CASE WHEN c.row_id IS NULL THEN {allele} ELSE c.a1 END AS a1, CASE WHEN c.row_id IS NULL THEN {allele} ELSE c.a2 END AS a2, c.phased, CASE WHEN c.row_id IS NULL THEN '{text}' ELSE c.fmt END AS fmt, c.dp
+      FROM t JOIN s ON TRUE LEFT JOIN c ON c.row_id = t.row_id AND c.sample_idx = s.sample_idx"""
+
+
+_bound_rows("bind_union_rows", _UNION, "NULL", "./.", mode="union")
+_bound_rows("bind_homref_rows", _UNION, "0", "0/0", mode="union", absent_as="hom_ref")
+
 # statistics
 
 _COUNTS = "SELECT g.row_id{grp}, CAST(SUM(CASE WHEN a1 > 0 THEN 1 ELSE 0 END + CASE WHEN a2 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS alt, 2 * COUNT(*) AS nobs FROM g JOIN s ON g.sample_idx = s.sample_idx JOIN v ON g.row_id = v.row_id WHERE a1 IS NOT NULL AND is_biallelic AND NOT is_indel{where} GROUP BY g.row_id{grp}"
@@ -222,11 +260,20 @@ _query("stats_sample", f"""{_SAMPLE}, {_f_sql(False)}, fm AS (SELECT grp, AVG(F)
     lambda spark, d: _rounded(stats.sample_statistics(load(spark, d)), 6)
 )
 _H = "CASE WHEN alt > 0 AND alt < nobs THEN 1 / h.h ELSE 0 END"
-_HARM = "h AS (SELECT n, SUM(1.0 / k) OVER (ORDER BY k) AS h FROM (SELECT k + 1 AS n, CAST(k AS DOUBLE) AS k FROM (SELECT unnest(range(1, 200)) AS k)))"
+_HARM = "h AS (SELECT n, SUM(1.0 / k) OVER (ORDER BY k) AS h FROM (SELECT k + 1 AS n, CAST(k AS DOUBLE) AS k FROM (SELECT unnest(range(1, 20000)) AS k)))"
 _query("theta", f"""{_BASE}, {_HARM}, pc AS ({_COUNTS.format(grp=", s.grp", where=" AND s.grp IS NOT NULL")}), tc AS (SELECT row_id, CAST(SUM(alt) AS BIGINT) AS alt, CAST(SUM(nobs) AS BIGINT) AS nobs FROM pc GROUP BY row_id),
     a AS (SELECT grp, alt, nobs FROM pc UNION ALL SELECT NULL, alt, nobs FROM tc), r AS (SELECT grp, AVG({_H}) AS theta_w, AVG({_PQ}) AS pi, COUNT(*) AS n_sites FROM a JOIN h ON a.nobs = h.n WHERE nobs >= 4 GROUP BY grp),
     z AS (SELECT grp, COUNT(*) AS n_ind FROM s WHERE grp IS NOT NULL GROUP BY grp UNION ALL SELECT NULL, COUNT(*) FROM s WHERE grp IS NOT NULL)
     SELECT z.grp, round(theta_w, 9) AS theta_w, round(pi, 9) AS pi, COALESCE(n_sites, 0) AS n_sites, n_ind FROM z LEFT JOIN r ON z.grp IS NOT DISTINCT FROM r.grp""")(lambda spark, d: _rounded(stats.theta(load(spark, d))))
+_query("stats_theta", SQL["theta"].replace("SELECT z.grp, round(theta_w, 9)", f", tt AS (SELECT z.grp, round(theta_w, 9)") + f"), {_f_sql(True)} SELECT ff.sample, ff.grp AS \"group\", ff.F_sites, round(F, 6) + 0.0 AS F, tt.theta_w, tt.pi, tt.n_ind, w.theta_w AS theta_total, w.pi AS pi_total FROM ff LEFT JOIN tt ON ff.grp = tt.grp LEFT JOIN tt w ON w.grp IS NULL")(
+    lambda spark, d: _rounded(stats.sample_statistics(load(spark, d), with_theta=True, f_ref="group").select("sample", "group", "F_sites", F.round("F", 6).alias("F"), "theta_w", "pi", "n_ind", "theta_total", "pi_total"))
+)
+_query("coverage_points_drawn", f"""{_BASE}, n AS (SELECT COUNT(*) AS n FROM v) SELECT g.row_id, g.sample_idx FROM g JOIN s ON g.sample_idx = s.sample_idx JOIN n ON TRUE
+    WHERE a1 IS NOT NULL AND dp IS NOT NULL AND CAST('0x' || substr(md5(g.row_id || ':' || g.sample_idx || ':7'), 1, 8) AS BIGINT) / 4294967296.0 < 500.0 / n""")(
+    lambda spark, d: stats.drawn_points(load(spark, d), 500, 7).select("row_id", "sample_idx")
+)
+_query("memory_estimate", f"""{_BASE}, n AS (SELECT COUNT(CASE WHEN is_biallelic AND NOT is_indel THEN 1 END) AS v FROM v), k AS (SELECT COUNT(*) AS s, COUNT(DISTINCT grp) + MAX(CASE WHEN grp IS NULL THEN 1 ELSE 0 END) AS p FROM s)
+    SELECT v AS n_var, s AS n_samples, CAST(p AS BIGINT) AS n_pops, 1000000 * s AS chunk_bytes, 8 * s * v AS matrix_bytes, 8 * s * v + 1000000 * s AS peak_bytes FROM n JOIN k ON TRUE""")(lambda spark, d: spark.createDataFrame([sizing.memory_estimate(load(spark, d))]))
 _query("missing_table", f"""{_SAMPLE} SELECT sample, grp AS "group", total_loci - non_missing AS missing_n, round(CASE WHEN total_loci > 0 THEN (total_loci - non_missing) / CAST(total_loci AS DOUBLE) END, 9) AS missing_p, total_loci FROM sm""")(
     lambda spark, d: _rounded(stats.missing_table(load(spark, d)))
 )
@@ -315,7 +362,22 @@ _query("export_eigenstrat_snp", f"""{_ORDER}, q AS (SELECT chrom, ROW_NUMBER() O
     SELECT row_id, locus || chr(9) || code || chr(9) || CASE WHEN pos IS NULL THEN 'NA' ELSE printf('%.8f', pos / 1e6) END || chr(9) || COALESCE(CAST(pos AS VARCHAR), 'NA') || chr(9) || ref || chr(9) || alt AS line FROM bv JOIN q ON bv.chrom = q.chrom""")(
     lambda spark, d: x.eigenstrat_snp(_grouped(spark, d))
 )
-_query("export_genlight")(lambda spark, d: x.genlight(_grouped(spark, d)))
+_query("export_genlight", f"""{_GRID} SELECT sample, grp AS pop, CAST((row_id - 1) // 50000 AS BIGINT) AS block, string_agg(COALESCE(CAST(a1 + a2 AS VARCHAR), 'NA'), ',' ORDER BY row_id) AS geno FROM c GROUP BY sample, grp, (row_id - 1) // 50000""")(
+    lambda spark, d: x.genlight(_grouped(spark, d)).withColumn("geno", F.array_join(F.transform("geno", lambda v: F.coalesce(v.cast("string"), F.lit("NA"))), ","))
+)
+_query("export_fam", f"{_ORDER} SELECT CAST(o AS INT) AS o, grp || chr(9) || sample || chr(9) || 0 || chr(9) || 0 || chr(9) || 0 || chr(9) || -9 AS line FROM so")(lambda spark, d: x.fam_lines(_grouped(spark, d)))
+_query("export_ind", f"{_ORDER} SELECT CAST(o AS INT) AS o, sample || chr(9) || 'U' || chr(9) || grp AS line FROM so")(lambda spark, d: x.ind_lines(_grouped(spark, d)))
+_query("export_map", SQL["export_bim"].replace(" || chr(9) || alt || chr(9) || ref AS line", " AS line"))(lambda spark, d: x.map_lines(_grouped(spark, d)))
+_query("export_chrommap", f"{_ORDER} SELECT MIN(row_id) AS first, chrom || chr(9) || '0' AS line FROM bv GROUP BY chrom")(lambda spark, d: x.chrom_map_lines(_grouped(spark, d)))
+_query("export_bim_keep", SQL["export_bim"].replace("'0' || chr(9) || locus", "chrom || chr(9) || locus"))(lambda spark, d: x.plink_bim(_grouped(spark, d), chrom_code="keep"))
+_query("export_admixture_pop", f"{_ORDER} SELECT CAST(o AS INT) AS o, CASE WHEN grp IN ('NORTH', 'ISLE') THEN grp ELSE '-' END AS line FROM so")(lambda spark, d: x.pop_lines(_grouped(spark, d), reference_groups=["NORTH", "ISLE"]))
+_query("export_nexus", f"{_GRID}, w AS (SELECT MAX(strlen(sample)) + 3 AS w FROM so) SELECT CAST(o AS INT) AS o, CAST((row_id - 1) // 50000 AS BIGINT) AS block, '    ' || rpad(MIN(sample), MIN(w)::INT, ' ') AS label, string_agg(CASE WHEN a1 IS NULL THEN '?' ELSE {_LETTER} END, '' ORDER BY row_id) AS text FROM c JOIN w ON TRUE GROUP BY o, (row_id - 1) // 50000")(
+    lambda spark, d: x.fasta(data := _grouped(spark, d)).join(F.broadcast(x.nexus_labels(data)), "o").select("o", "block", "label", "text")
+)
+_query("export_fstructure", f"{_ORDER}, gn AS (SELECT grp, ROW_NUMBER() OVER (ORDER BY MIN(o)) AS g FROM so GROUP BY grp) SELECT CAST(2 * o + h AS INT) AS o, sample || chr(9) || g || repeat(chr(9) || '0', 4) || chr(9) AS prefix FROM so JOIN gn ON so.grp = gn.grp JOIN (SELECT unnest([0, 1]) AS h) ON TRUE")(
+    lambda spark, d: x.structure_prefixes(_grouped(spark, d), method="F")
+)
+_query("export_migrate_c_all", SQL["export_migrate_c"].replace("CASE WHEN grp = 'REF' THEN 0 ELSE 1 END AS g", "CAST(g AS INT) AS g").replace(" WHERE grp IN ('REF', 'NORTH')", ""))(lambda spark, d: x.migrate_counts(_grouped(spark, d)))
 
 
 def _with_counts(spark: SparkSession, d: str) -> Genotypes:
@@ -332,6 +394,11 @@ _query("write_vcf_lines", f"""{_BASE}, c AS (SELECT v.row_id, s.sample_idx, COAL
     SELECT v.row_id, {" || chr(9) || ".join("COALESCE(NULLIF(" + ("CAST(CAST(pos AS BIGINT) AS VARCHAR)" if c == "pos" else c) + ", ''), '.')" for c in vcf.FIXED)} || chr(9) || cells AS line FROM v JOIN w ON v.row_id = w.row_id WHERE pos IS NOT NULL""")(
     lambda spark, d: vcf.vcf_lines(load(spark, d), updated=False)
 )
+# the same with the INFO of update_info
+_query("write_vcf_lines_updated", SQL["update_info"].replace("SELECT row_id, 'AC='", ", u AS (SELECT row_id, 'AC='") + f"""), c AS (SELECT v.row_id, s.sample_idx, COALESCE(NULLIF(g.fmt, ''), '.') AS t FROM v JOIN s ON TRUE LEFT JOIN g ON g.row_id = v.row_id AND g.sample_idx = s.sample_idx), w AS (SELECT row_id, string_agg(t, chr(9) ORDER BY sample_idx) AS cells FROM c GROUP BY row_id)
+    SELECT v.row_id, {" || chr(9) || ".join("COALESCE(NULLIF(" + ("CAST(CAST(pos AS BIGINT) AS VARCHAR)" if c == "pos" else "u.info" if c == "info" else "v." + c) + ", ''), '.')" for c in vcf.FIXED)} || chr(9) || cells AS line FROM v JOIN w ON v.row_id = w.row_id JOIN u ON u.row_id = v.row_id WHERE pos IS NOT NULL""")(
+    lambda spark, d: vcf.vcf_lines(_with_counts(spark, d))
+)
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
