@@ -22,10 +22,12 @@ Chain and skip weights are trained together by pii_train and kept in pii_model.j
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -61,7 +63,7 @@ _TOKEN = re.compile(rf"(?:[a-zà-ÿ]++(?!['’-])|(?=[\dA-Z+(]){_NUMBER}|{_WORD}
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
 _AT_WORD = re.compile(r"\bat\s++(?=[\w-]++\s++dot\s)", re.IGNORECASE)
 _HOST = re.compile(r"\s?[\w-]++(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s++dot\s++)[\w-]++)++\s*+", re.IGNORECASE)
-_PARAGRAPH = re.compile(r"(?<=\S)[^\S\n]*+\n[^\S\n]*+\n\s*+(?=\S)")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*+\n\s*+(?=\S)")
 _WRITTEN_OUT = re.compile(r"at\s?[\])}]| dot ", re.IGNORECASE)
 MAIL = "@mail"
 _NO_DIGIT = re.compile(r"\D+")
@@ -246,7 +248,8 @@ class Tagger:
         self.kinds: dict[str, int] = {"": 0}
         self.raw: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.shared: list[tuple[int, ...]] = [()]
+        # spellings of word i: shared[shared_ends[i - 1]:shared_ends[i]]
+        self.shared, self.shared_ends = array("q"), array("q", [0])
         self.keys: dict[str, int] = {}
         self.scores = np.zeros((1024, 2 * REACH + 1, self.k), np.float32)
         self.word, self.letter = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -261,7 +264,8 @@ class Tagger:
     def _word(self, folded: str) -> int:
         if (i := self.words.get(folded)) is None:
             i = self.words[folded] = len(self.words) + 1
-            self.shared.append(tuple(self.keys.setdefault(k, len(self.keys)) for k in spellings(folded)))
+            self.shared.extend(self.keys.setdefault(k, len(self.keys)) for k in dict.fromkeys(spellings(folded)))
+            self.shared_ends.append(len(self.shared))
         return i
 
     def kind_of(self, token: str) -> int:
@@ -292,7 +296,10 @@ class Tagger:
         flat, starts = list(edge), []
         for tokens in texts:
             starts.append(len(flat))
-            flat += [i if (i := get(t)) is not None else of(t) for t in tokens]
+            own = list(map(get, tokens))
+            if None in own:
+                own = [of(t) if i is None else i for i, t in zip(own, tokens, strict=True)]
+            flat += own
             flat += edge
         return np.asarray(flat, np.int64), np.asarray(starts, np.int64)
 
@@ -320,19 +327,27 @@ class Tagger:
         pairs = np.unique(text[some] * n + own[some])
         cluster = np.zeros(0, np.int64)
         if len(pairs):
-            root, seen, last, merged = list(range(len(pairs))), {}, -1, False
+            root = list(range(len(pairs)))
 
             def find(i: int) -> int:
                 while root[i] != i:
                     root[i] = i = root[root[i]]
                 return i
 
-            for i, (t, w) in enumerate(zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True)):
-                if t != last:
-                    seen, last = {}, t
-                for k in self.shared[w]:
-                    if (other := seen.setdefault(k, i)) != i and (a := find(other)) != (b := find(i)):
-                        root[b], merged = a, True
+            # every spelling of every word of a text; equal ones come together in order
+            ends = np.asarray(self.shared_ends)
+            w = pairs % n
+            count = ends[w] - ends[w - 1]
+            of_pair = np.repeat(np.arange(len(pairs)), count)
+            flat = np.asarray(self.shared)[np.repeat(ends[w] - np.cumsum(count), count) + np.arange(count.sum())]
+            code = (pairs // n)[of_pair] * len(self.keys) + flat
+            order = np.argsort(code, kind="stable")
+            equal = np.flatnonzero(np.diff(code[order]) == 0)
+            joined = np.unique(of_pair[order[equal]] * len(pairs) + of_pair[order[equal + 1]])
+            for x, y in zip((joined // len(pairs)).tolist(), (joined % len(pairs)).tolist(), strict=True):
+                if (a := find(x)) != (b := find(y)):
+                    root[b] = a
+            merged = len(joined) > 0
             if merged:
                 cluster = np.array([find(i) for i in range(len(pairs))])
                 many = np.bincount(cluster, minlength=len(pairs)) > 1
@@ -505,6 +520,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reda
             keys, out, found = label(tagger, held)
             return pa.RecordBatch.from_arrays([pa.array(keys, type_), pa.array(out, pa.string()), pa.array(found, kinds)], names=[key, "redacted", "found"])
 
+        gc.freeze()  # the weights are never garbage
         for batch in batches:
             held, size = [], 0
             for k, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
