@@ -2,14 +2,17 @@
 
 import gzip
 import random
+import time
+import xml.dom.minidom
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from varilake.model import from_tables, load
+from varilake.model import from_tables, ingest, load, open_dataset
 from varilake.operators import bind, filters, metrics, samples, stats
-from varilake.plans import exports
+from varilake.plans import exports, plots, sizing
 from varilake.plans.layout import layout
 from varilake.sources import vcf
 
@@ -230,3 +233,130 @@ def test_empty_tables(spark, data):
     assert metrics.per_sample(g).count() == 0 and filters.filter_invariant(g).variants.count() == 0 and g.summary()["variants"] == 0
     with pytest.raises(ValueError):
         filters.filter_missing(g)
+
+
+# ---- selection, reports, sizing, plots, wide data
+
+
+def test_positions_and_masks(spark, tmp_path):
+    data = grid(spark, tmp_path)
+    ids = lambda x: sorted(r[0] for r in x.variants.select("row_id").collect())
+    names = lambda x: [r[0] for r in x.samples.orderBy("sample_idx").select("sample").collect()]
+    assert ids(data[0, None]) == [1] and ids(data[-1, None]) == [5] and ids(data[1:3, None]) == [2, 3] and ids(data[[4, 0, 0], None]) == [1, 5]
+    assert ids(data[[True, False, False, True, False], None]) == [1, 4] and ids(data[[], None]) == []
+    assert names(data[None, "C"]) == ["C"] and names(data[None, ["D", "A"]]) == ["A", "D"] and names(data[None, [True, False, True, False]]) == ["A", "C"] and names(data[None, slice(2)]) == ["A", "B"]
+    both = filters.filter_indels(data)[1:, [0, -1]]
+    assert ids(both) == [2, 3, 5] and both.live().count() == 6
+    for bad in ((7, None), ([True], None), (None, [9])):
+        with pytest.raises(IndexError):
+            data[bad]
+    with pytest.raises(KeyError):
+        data[None, ["A", "Z"]]
+
+
+def test_reader_report_and_store(spark, tmp_path):
+    lines = [line(cells=("0/1", "1", "./1")), line(fmt="DP", cells=("1", "2", "3")), line(cells=("0/1/1", "x")), line(cells=())]
+    with pytest.warns(UserWarning, match="haploid"):
+        data = read(spark, tmp_path, lines)
+    assert data.report == {"haploid": 1, "half_missing": 1, "polyploid": 1, "malformed": 1, "short_lines": 2, "no_gt_lines": 1}
+    with pytest.raises(ValueError):
+        vcf.read_vcf(spark, str(tmp_path / "x.vcf"), chunk_size=0)
+    stored = vcf.read_vcf(spark, str(tmp_path / "x.vcf"), chunk_size=1, store_at=str(tmp_path / "kept"))
+    rows = [pq.read_metadata(f).num_rows for f in (tmp_path / "kept" / "variants").glob("*.parquet")]
+    assert sum(rows) == 4 and max(rows) == 1
+    again = open_dataset(spark, str(tmp_path / "kept"))
+    assert again.header == stored.header == data.header and cells(again, "row_id", "fmt") == cells(data, "row_id", "fmt")
+
+
+def test_writer_warnings(spark, tmp_path):
+    data = read(spark, tmp_path, [line(pos="5"), line(pos="4"), line(pos="x")])
+    with pytest.warns(UserWarning) as seen:
+        vcf.write_vcf(data, str(tmp_path / "o.vcf"))
+    text = " ".join(str(w.message) for w in seen)
+    assert "1 variants without a position" in text and "not sorted" in text
+
+
+@pytest.mark.parametrize("block", [2, 3, 1 << 16])
+def test_sorted_check(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(vcf, "ORDER_BLOCK", block)
+    order = lambda *at: vcf.is_sorted(read(spark, tmp_path, [line(chrom=c, pos=str(p)) for c, p in at], name=f"{abs(hash(at))}.vcf"))
+    assert order(("a", 1), ("a", 1), ("a", 5), ("b", 2), ("b", 3), ("c", 1)) and order(("b", 1), ("a", 1))
+    assert not order(("a", 1), ("a", 5), ("a", 4), ("b", 2)) and not order(("a", 1), ("b", 1), ("b", 2), ("a", 2)) and not order(("a", 1), ("a", 2), ("a", 3), ("a", 2))
+
+
+def test_duplicates_that_differ_are_taken_by_order(spark):
+    v = [(1, "1", 5.0, None, "A", "T", "9", "PASS", None, None, 1, True, False, ".", "GT"), (1, "1", 4.0, None, "A", "T", "9", "PASS", None, None, 1, True, False, ".", "GT")]
+    variants = spark.createDataFrame(v, "row_id BIGINT, chrom STRING, pos DOUBLE, id STRING, ref STRING, alt STRING, qual STRING, filter STRING, rk DOUBLE, rpt DOUBLE, n_alt INT, is_biallelic BOOLEAN, is_indel BOOLEAN, info STRING, format STRING")
+    g = [(1, "A", 0, a, 1, False, "x", 1.0, None, None) for a in (1, 0)]
+    gt = spark.createDataFrame(g, "row_id BIGINT, sample STRING, sample_idx INT, a1 INT, a2 INT, phased BOOLEAN, fmt STRING, dp DOUBLE, gq DOUBLE, adr DOUBLE")
+    people = spark.createDataFrame([(0, "A", "g")], "sample_idx INT, sample STRING, grp STRING")
+    for made in (from_tables(variants, gt, people), ingest(variants, gt, people)):
+        assert [r["pos"] for r in made.variants.collect()] == [4.0] and [r["a1"] for r in made.gt.collect()] == [0]
+
+
+def test_ingest_pushes_filters_and_shuffles_once(spark, data):
+    stored = load(spark, data)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(filter" in plan(filters.filter_pass(stored).variants.select("row_id"))
+    assert plan(filters.filter_maf(stored).variants.select("row_id")).count("Exchange hashpartitioning(row_id") <= 2 and "Exchange" not in plan(filters.filter_quality(stored).variants)
+
+
+def wide(spark, n):
+    people = spark.createDataFrame([(i, f"s{i}", f"g{i % 3}") for i in range(n)], "sample_idx INT, sample STRING, grp STRING")
+    rows = spark.range(20).select(F.col("id").alias("row_id"))
+    variants = rows.select((F.col("row_id") + 1).alias("row_id"), F.lit("1").alias("chrom"), F.col("row_id").cast("double").alias("pos"), F.lit(".").alias("id"), F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.lit("9").alias("qual"), F.lit("PASS").alias("filter"), F.lit(None).cast("double").alias("rk"), F.lit(None).cast("double").alias("rpt"), F.lit(1).alias("n_alt"), F.lit(True).alias("is_biallelic"), F.lit(False).alias("is_indel"), F.lit(".").alias("info"), F.lit("GT").alias("format"))
+    gt = variants.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(2))).alias("sample_idx")).select("row_id", F.concat(F.lit("s"), "sample_idx").alias("sample"), "sample_idx", F.lit(0).alias("a1"), F.lit(1).alias("a2"), F.lit(False).alias("phased"), F.lit("0/1").alias("fmt"), *(F.lit(1.0).alias(c) for c in ("dp", "gq", "adr")))
+    return ingest(variants, gt, people)
+
+
+def test_wide_layouts_are_linear_in_samples(spark):
+    """Ten times the samples take about ten times as long at most; a lookup per sample would take a hundred."""
+    seconds = {}
+    for n in (3_000, 3_000, 30_000):
+        d = wide(spark, n)
+        start = time.time()
+        texts = [r["line"] for r in exports.snmf(d).collect()]
+        assert all(len(t) == n and t.count("1") == n // 2 and t.count("9") == n // 2 for t in texts)
+        written_lines = [r["line"] for r in vcf.vcf_lines(d, updated=False).collect()]
+        assert all(len(t.split("\t")) == n + 9 and t.count("0/1") == n // 2 for t in written_lines)
+        seconds[n] = time.time() - start
+    assert seconds[30_000] < 25 * max(seconds[3_000], 0.4)
+
+
+def test_sizing():
+    assert sizing.chunk_size_for(4, 100) == int(4 * 2**30 / 2 / (100 * (44.125 + 35)))
+    assert sizing.chunk_size_for(0.001, 10**6) == 1_000 and sizing.chunk_size_for(10**6, 1) == 500_000
+    assert sizing.chunk_size_for(8, 100, workers=4) == int(8 * 2**30 / 2 / 4 / (100 * (44.125 + 35 + 52)))
+
+
+def test_memory_estimate_and_plots(spark, tmp_path):
+    data = grid(spark, tmp_path)
+    assert sizing.memory_estimate(data, chunk_size=10) == {"n_var": 3, "n_samples": 4, "n_pops": 2, "chunk_bytes": 800, "matrix_bytes": 96, "peak_bytes": 896}
+    assert sizing.memory_estimate(data, ["x"], "pop", 10)["matrix_bytes"] == 24 and sizing.memory_estimate(data, format="chunk", chunk_size=10)["peak_bytes"] == 1600
+    plots.assess_missing(data, str(tmp_path), "p")
+    xml.dom.minidom.parse(str(tmp_path / "p_missing.svg"))
+    assert (tmp_path / "p_missing.csv").read_text().startswith("sample,group,missing_n,missing_p,total_loci\n")
+    with pytest.raises(ValueError):
+        plots.assess_coverage(data, str(tmp_path), "p")
+    deep = read(spark, tmp_path, [line(fmt="GT:DP", cells=("0/1:9", "1/1:<3", "0/0:100"))], name="d.vcf")
+    assert plots.assess_coverage(deep, str(tmp_path), "a<b").count() == 2
+    assert xml.dom.minidom.parse(str(tmp_path / "a<b_coverage.svg")).getElementsByTagName("polygon").length == 2
+
+
+def test_reports_and_renaming(spark, tmp_path):
+    data = read(spark, tmp_path, [line(fmt="GT:DP:AD", cells=("0/1:9:99,1", "1/1:30:0,9", ".:3:1,1")), line(fmt="GT:DP:AD", cells=("0/1::5,5", "0/1:10:1,99", "0/0:1:9,0"))])
+    assert filters.coverage_report(data) == {"masked": 3, "called": 5} and filters.adr_report(data) == {"low": 1, "high": 1, "heterozygotes": 3}
+    with pytest.warns(UserWarning, match="no samples"):
+        moved = samples.rename_samples(data, [{"id": " A ", "new_id": "B", "pop": "p"}, {"id": "B", "new_id": "A", "pop": ""}, {"id": "zz", "new_id": "q", "pop": None}], update_groups=True)
+    assert [tuple(r) for r in moved.samples.orderBy("sample_idx").select("sample", "grp").collect()] == [("B", "p"), ("A", None), ("C", None)]
+    with pytest.warns(UserWarning, match="no group"):
+        samples.set_groups(data, spark.createDataFrame([("A", "x"), ("B", "NA"), ("C ", " y ")], "id STRING, pop STRING"))
+    for bad in ([{"id": "A", "new_id": "x"}, {"id": "A", "new_id": "y"}], {"A": "B"}, {"A": "x\ty"}, {"A": ""}):
+        with pytest.raises(ValueError):
+            samples.rename_samples(data, bad)
+
+
+def test_chrom_numbers(spark, tmp_path):
+    data = samples.set_groups(read(spark, tmp_path, [line(chrom="chr7", pos="1"), line(chrom="Chr_12", pos="2"), line(chrom="3", pos="3")]), [{"id": s, "pop": "g"} for s in "ABC"])
+    assert [r["line"].split("\t")[0] for r in exports.plink_bim(data).orderBy("row_id").collect()] == ["7", "12", "3"]
+    assert {r["line"] for r in exports.chrom_map_lines(data).collect()} == {"chr7\t7", "Chr_12\t12", "3\t3"}

@@ -128,16 +128,17 @@ def _first(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
-def _cleaned(variants: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _cleaned(variants: DataFrame, gt: DataFrame, ranges: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each variant and each genotype once, values outside a field's domain missing; see from_tables.
 
-    Both are brought together by row_id first, which is all the shuffling that taking them once, and anything that is
-    done per variant afterwards, needs.
+    Both are brought together by row_id first (ranges: by ranges of it), which is all the shuffling that taking them
+    once, and anything that is done per variant afterwards, needs.
     """
-    variants = _first(variants.select(*VARIANT_COLUMNS).repartition("row_id"), ["row_id"]).withColumn("qual_num", numeric_text(F.col("qual")))
+    together = lambda df: df.repartitionByRange("row_id") if ranges else df.repartition("row_id")
+    variants = _first(together(variants.select(*VARIANT_COLUMNS)), ["row_id"]).withColumn("qual_num", numeric_text(F.col("qual")))
     called = (F.col("a1") >= 0) & (F.col("a2") >= 0)
     number = lambda c: F.when((F.col(c) >= 0) & ~F.isnan(c), F.col(c)).alias(c)
-    gt = _first(gt.select(*GENOTYPE_COLUMNS).repartition("row_id"), ["row_id", "sample_idx"])
+    gt = _first(together(gt.select(*GENOTYPE_COLUMNS)), ["row_id", "sample_idx"])
     return variants, gt.select("row_id", "sample", "sample_idx", *(F.when(called, F.col(a)).alias(a) for a in ("a1", "a2")), "phased", "fmt", *(number(c) for c in ("dp", "gq", "adr")))
 
 
@@ -162,10 +163,11 @@ def from_tables(variants: DataFrame, gt: DataFrame, samples: DataFrame, header:
     return _whole(*_cleaned(variants, gt), _checked(samples), header)
 
 
-def store(variants: DataFrame, gt: DataFrame, samples: DataFrame, header: tuple[str, ...], path: str, rows_per_file: int = 0) -> Genotypes:
-    """Writes clean tables to Parquet by ranges of row_id, so that row groups are pruned by it, and opens them."""
-    for name, df, order in (("variants", variants, ["row_id"]), ("gt", gt, ["row_id", "sample_idx"])):
-        df.repartitionByRange("row_id").sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/{name}")
+def store(variants: DataFrame, gt: DataFrame, samples: DataFrame, header: tuple[str, ...], path: str, chunk_size: int = 0, n_samples: int = 1) -> Genotypes:
+    """Writes clean tables, whose partitions are ranges of row_id, to Parquet in order, so that files and row groups are
+    pruned by it, and opens them. chunk_size: variants per file at most, 0 for no limit."""
+    for name, df, order, most in (("variants", variants, ["row_id"], chunk_size), ("gt", gt, ["row_id", "sample_idx"], chunk_size * n_samples)):
+        df.sortWithinPartitions(*order).write.option("maxRecordsPerFile", most).parquet(f"{path}/{name}")
     samples.coalesce(1).write.parquet(f"{path}/samples")
     variants.sparkSession.createDataFrame(list(enumerate(header)), "i INT, line STRING").coalesce(1).write.parquet(f"{path}/header")
     return open_dataset(variants.sparkSession, path)
@@ -182,7 +184,7 @@ def ingest(variants: DataFrame, gt: DataFrame, samples: DataFrame, path: str | N
 
     Filters on variants reach the scan of what is stored, and counts per variant need one exchange of one row each.
     """
-    return store(*_cleaned(variants, gt), _checked(samples), header, path or f"{written_folder(variants.sparkSession)}/{uuid.uuid4().hex}")
+    return store(*_cleaned(variants, gt, ranges=True), _checked(samples), header, path or f"{written_folder(variants.sparkSession)}/{uuid.uuid4().hex}")
 
 
 _STORED: dict[tuple, str] = {}

@@ -50,7 +50,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         upto += r["m"]
     shifts = spark.createDataFrame(table, "f STRING, b BIGINT, shift BIGINT")
     out = data.join(shifts, ["f", "b"]).select((F.col("i") + F.col("shift") + 1).alias("row_id"), "line")
-    return out.repartition("row_id") if path.endswith(".gz") else out
+    return out.repartitionByRange("row_id") if path.endswith(".gz") else out
 
 
 def alleles(gt: Column) -> dict[str, Column]:
@@ -158,7 +158,7 @@ def read_vcf(spark: SparkSession, path: str, chunk_size: int = 50_000, store_at:
     counts = Observation()
     gt = parse_genotypes(lines, max(len(names), 1)).observe(counts, *_report_counts(F.col("n_samples") - 1))
     gt = (gt if names else gt.where(F.lit(False))).join(F.broadcast(samples.drop("grp")), "sample_idx").select("row_id", "sample", "sample_idx", "a1", "a2", "phased", "fmt", "dp", "gq", "adr")
-    out = store(variants, gt, samples, header, store_at or f"{written_folder(spark)}/{uuid.uuid4().hex}", chunk_size * max(len(names), 1))
+    out = store(variants, gt, samples, header, store_at or f"{written_folder(spark)}/{uuid.uuid4().hex}", chunk_size, max(len(names), 1))
     report = dict(counts.get)
     if odd := {k: v for k, v in report.items() if v}:
         warnings.warn(f"{path}: {odd}", stacklevel=2)
