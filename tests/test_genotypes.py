@@ -360,3 +360,19 @@ def test_chrom_numbers(spark, tmp_path):
     data = samples.set_groups(read(spark, tmp_path, [line(chrom="chr7", pos="1"), line(chrom="Chr_12", pos="2"), line(chrom="3", pos="3")]), [{"id": s, "pop": "g"} for s in "ABC"])
     assert [r["line"].split("\t")[0] for r in exports.plink_bim(data).orderBy("row_id").collect()] == ["7", "12", "3"]
     assert {r["line"] for r in exports.chrom_map_lines(data).collect()} == {"chr7\t7", "Chr_12\t12", "3\t3"}
+
+
+def test_parts_make_up_the_file(spark, tmp_path):
+    data = read(spark, tmp_path, [line(pos=str(i)) for i in range(1, 300)])
+    for name in ("a.vcf", "b.vcf.gz"):
+        vcf.write_vcf(data, str(tmp_path / name), updated=False)
+        vcf.write_vcf(data, str(tmp_path / f"parts.{name}"), updated=False, parts=True)
+        joined = b"".join(p.read_bytes() for p in sorted((tmp_path / f"parts.{name}").glob("*/part-*")))
+        text = lambda b: gzip.decompress(b) if name.endswith("gz") else b
+        assert text(joined) == text((tmp_path / name).read_bytes())
+
+
+def test_copy_keeps_what_filters_hid(spark, tmp_path):
+    data = filters.filter_indels(grid(spark, tmp_path))
+    copied = data.with_samples(data.samples.where("sample <> 'B'")).copy()
+    assert copied.live().count() == 12 and copied.gt.count() == 15 and copied.variants.count() == 4 and copied.loci.count() == 5

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varilake.functions.numbering import numbered
 from varilake.operators.profile import numeric_text
-from varilake.session import stamp, written_folder
+from varilake.session import materialize, stamp, written_folder
 
 VARIANT_COLUMNS = ("row_id", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "rk", "rpt", "n_alt", "is_biallelic", "is_indel", "info", "format")
 GENOTYPE_COLUMNS = ("row_id", "sample", "sample_idx", "a1", "a2", "phased", "fmt", "dp", "gq", "adr")
@@ -100,6 +100,15 @@ class Genotypes:
         groups = {r[0]: r[1] for r in self.samples.groupBy("grp").count().collect()}
         return v.asDict() | {"samples": sum(groups.values()), "groups": groups, "missing_percent": 100 * g["missing"] / g["n"] if g["n"] else None, "phased": g["phased"]}
 
+    def copy(self) -> Genotypes:
+        """The same data set computed and stored once in the shared folder: for reuse after a long chain of filters.
+
+        Genotypes that filters only hid are kept, so that merging can still recover them; nothing is shared with the
+        source but the list of samples.
+        """
+        kept = self.gt.join(self.sample_list(), "sample_idx", "left_semi") if "samples" in self.filtered else self.gt
+        return replace(self, variants=materialize(self.variants), gt=materialize(kept), loci=materialize(self.loci), removed=materialize(self.removed), filtered=self.filtered - {"samples"})
+
     def preview(self, n: int = 5) -> DataFrame:
         return self.variants.orderBy("row_id").limit(n)
 

@@ -133,6 +133,16 @@ def write_lines(lines: DataFrame, path: str, order: list[str], head: list[str] |
         out.writelines(x + "\n" for x in tail)
 
 
+def write_parts(lines: DataFrame, folder: str, order: list[str], head: list[str] | tuple = (), compress: bool = False) -> None:
+    """A folder of text files written by the tasks, in the shared file system: in the order of their names they make up the
+    file that write_lines writes. The header is a file of its own, the first. gzip files may be joined too."""
+    spark = lines.sparkSession
+    codec = "gzip" if compress else "none"
+    top = spark.createDataFrame([(h,) for h in head], "line STRING").coalesce(1)
+    top.write.text(f"{folder}/0-head", compression=codec)
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(f"{folder}/1-lines", compression=codec)
+
+
 def write_blocks(blocks: DataFrame, path: str, prefix: list[str], sep: str, head: list[str] | tuple = (), tail: list[str] | tuple = ()) -> None:
     """A sample-major file: every sample's prefix and blocks in order, streamed; an o without blocks gets its prefix."""
     with open(path, "w") as out:

@@ -76,6 +76,15 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 
 # filters
 
+_SUB = "sub AS (SELECT * FROM g WHERE sample_idx IN (SELECT sample_idx FROM s WHERE {where}))"
+
+
+def _few_plates(spark: SparkSession, d: str) -> Genotypes:
+    data = f.filter_quality(load(spark, d))
+    plates = spark.read.parquet(f"{d}/samples.parquet").where("plate < 5").select("sample_idx")
+    return data.with_samples(data.samples.join(plates, "sample_idx", "left_semi"))
+
+
 _ids("filter_quality", f.filter_quality, "COALESCE(qual_num, 30) >= 30")
 _ids("filter_pass", f.filter_pass, "filter IN ('PASS', '.')")
 _ids("filter_biallelic", f.filter_biallelic, "is_biallelic")
@@ -123,6 +132,9 @@ _query("filter_adr_remove", f"""{_BASE}, {_PLACED} SELECT row_id, sample_idx, CA
 _ADR = f"""ad AS (SELECT row_id, CASE WHEN {_HET} THEN {{new}} ELSE a1 END AS a1, CASE WHEN {_HET} THEN {{new}} ELSE a2 END AS a2 FROM g)"""
 for _mode, _value in (("correct", f"CAST({_NEW} AS INT)"), ("remove", "NULL")):
     _query(f"filter_adr_{_mode}_invariant", f"{_BASE}, {_ADR.format(new=_value)}, m AS ({_metrics('ad')}) SELECT v.row_id FROM {_JOINED} WHERE {_POLY}")(lambda spark, d, mode=_mode: f.filter_adr(load(spark, d), mode=mode).variants.select("row_id"))
+_query("copy_filtered", f"{_BASE}, {_SUB.format(where='plate < 5')} SELECT sub.row_id, sub.sample_idx, sub.fmt FROM sub JOIN v ON sub.row_id = v.row_id WHERE COALESCE(qual_num, 30) >= 30".replace("FROM s WHERE plate", "FROM samples WHERE plate"))(
+    lambda spark, d: _few_plates(spark, d).copy().live("row_id", "sample_idx", "fmt")
+)
 _query("coverage_report", f"{_BASE} SELECT COUNT(CASE WHEN {_LOW} THEN 1 END) AS masked, COUNT(a1) AS called FROM g")(lambda spark, d: spark.createDataFrame([f.coverage_report(load(spark, d))]))
 _query("adr_report", f"{_BASE} SELECT COUNT(CASE WHEN a1 <> a2 AND adr < 0.1 THEN 1 END) AS low, COUNT(CASE WHEN a1 <> a2 AND adr > 0.9 THEN 1 END) AS high, COUNT(CASE WHEN a1 <> a2 THEN 1 END) AS heterozygotes FROM g")(
     lambda spark, d: spark.createDataFrame([f.adr_report(load(spark, d))])
@@ -149,7 +161,6 @@ def _grouped(spark: SparkSession, d: str) -> Genotypes:
     return data.with_samples(data.samples.where(F.col("grp").isNotNull()))
 
 
-_SUB = "sub AS (SELECT * FROM g WHERE sample_idx IN (SELECT sample_idx FROM s WHERE {where}))"
 _query("extract_samples", f"{_BASE}, {_SUB.format(where=chr(34) + 'sample' + chr(34) + chr(32) + 'LIKE ' + chr(39) + 'Kx%' + chr(39))}, m AS ({_metrics('sub')}) SELECT v.row_id FROM {_JOINED} WHERE {_POLY}")(
     lambda spark, d: samples.extract_samples(data := load(spark, d), [r[0] for r in data.samples.where("sample LIKE 'Kx%'").select("sample").collect()]).variants.select("row_id")
 )

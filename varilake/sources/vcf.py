@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varilake.model import MAX_SAMPLES, Genotypes, store
 from varilake.operators.profile import numeric_text
-from varilake.plans.layout import PROGRAM, dense, places, write_lines
+from varilake.plans.layout import PROGRAM, dense, places, write_lines, write_parts
 from varilake.session import written_folder
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -216,8 +216,9 @@ def vcf_lines(data: Genotypes, updated: bool = True) -> DataFrame:
     return v.join(held, "row_id", "left").select("row_id", F.concat_ws("\t", *fields, cells).alias("line"))
 
 
-def write_vcf(data: Genotypes, path: str, updated: bool = True) -> None:
-    """One file, gzip if its name ends so; the header with a line naming this program once.
+def write_vcf(data: Genotypes, path: str, updated: bool = True, parts: bool = False) -> None:
+    """One file, gzip if its name ends so; the header with a line naming this program once. With parts, a folder of files
+    that the tasks write, which make up the file in the order of their names (layout.write_parts).
 
     Variants without a position can't be written; that, and variants out of order, is a warning.
     """
@@ -229,7 +230,10 @@ def write_vcf(data: Genotypes, path: str, updated: bool = True) -> None:
     source = f"##source={PROGRAM}"
     meta = [h for h in data.header if not h.startswith("#CHROM")] or ["##fileformat=VCFv4.2"]
     head = [*meta, *([] if source in meta else [source]), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
-    write_lines(vcf_lines(data, updated), path, ["row_id"], head)
+    if parts:
+        write_parts(vcf_lines(data, updated), path, ["row_id"], head, path.endswith(".gz"))
+    else:
+        write_lines(vcf_lines(data, updated), path, ["row_id"], head)
 
 
 ORDER_BLOCK = 1 << 16
