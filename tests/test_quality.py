@@ -370,3 +370,10 @@ def test_only_corrupt_lines_are_classified(spark, data):
     """What the reader lets through has no reason, and most of what it holds back has one."""
     r = reject.read_permissive(spark.read.parquet(f"{data}/vcf_lines.parquet")).agg(F.count("reason"), F.count("corrupt"), F.count_if(F.col("corrupt").isNull() & F.col("reason").isNotNull()), F.count(F.lit(1))).first()
     assert r[2] == 0 < r[0] <= r[1] < 0.2 * r[3]
+
+
+def test_differences_of_many_keys_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(copydiff, "BROADCAST_KEYS", 10)
+    a = [(i, "c", 1.0, "A") for i in range(500)]
+    b = [(i, "c", 1, "A" if i % 3 else "G") for i in range(450)]
+    assert differences(spark, a, b) == {(i, "ref") for i in range(0, 450, 3)} | {(i, "only_in_a") for i in range(450, 500)}
