@@ -121,3 +121,16 @@ def test_many_groups_and_spilled_sketches(spark, monkeypatch):
     got = quantiles.exact(df, "sample", F.col("dp"), answers)
     want = df.groupBy("sample").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dp)").alias("val"))
     assert got.select("sample", "val").exceptAll(want).isEmpty() and want.count() == got.count() > 66_000
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_top_n_in_bands_with_and_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", limit)
+    rng = random.Random(5)
+    rows = [(None if rng.random() < 0.05 else f"g{int(200 * rng.random() ** 3)}", float(rng.randint(0, 60)), rng.randint(0, 2000), None) for _ in range(4000)]
+    assert topped(spark, rows, 4) == best(rows, 4) == topped(spark, rows, 4, shares=(0.1, 0.3, 0.5))
+
+
+def test_band_shares():
+    assert topn.band_shares(0, 0, 3) == () and topn.band_shares(100, 100, 3) == (0.5,)
+    assert topn.band_shares(10**9, 1000, 3) == (6e-6, 4.8e-5) and all(0 < x <= 0.5 for x in topn.band_shares(10**6, 10**5, 3))

@@ -36,6 +36,15 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _depths(spark, d)[1]
 
 
+def p6_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the percentile counted value by value lies between the sketch's bounds, and its share of error is as stated."""
+    gt, answers = _depths(spark, d)
+    true = gt.groupBy("sample").agg(*(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY CASE WHEN dp >= 0 AND NOT isnan(dp) AND dp = rint(dp) AND dp < double('inf') THEN dp END)").alias(f"_{p}") for p in PERCENTS))
+    exact = true.select(F.col("sample").alias("_s"), F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"_{p}").alias("x")) for p in PERCENTS))).alias("_t"))
+    both = answers.join(exact, F.col("sample").eqNullSafe(F.col("_s")) & (F.col("pct") == F.col("_t.p")))
+    return both.select("sample", "pct", "n", F.col("_t.x").between(F.col("low"), F.col("high")).alias("inside"), (F.col("error") <= 0.0035 * F.col("n")).alias("close"))
+
+
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(read_table(spark, d, "documents"), read_table(spark, d, "pack_targets"))
 
@@ -62,7 +71,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(read_table(spark, d, "documents")).select("doc_id", "redacted")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_percentiles, p7_pack, p7_fill, p8_found, p8_edits, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_percentiles, p6_within, p7_pack, p7_fill, p8_found, p8_edits, p9_found, p9_redacted)}
 
 _QUAL = "^[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
 SQL = {
@@ -75,6 +84,8 @@ SQL = {
       o AS (SELECT pct, val, ROW_NUMBER() OVER (PARTITION BY pct ORDER BY val) AS i, COUNT(*) OVER (PARTITION BY pct) AS n FROM p),
       u AS (SELECT pct, val AS usual FROM o WHERE i = (n + 1) // 2)
       SELECT p.sample, CAST(p.pct AS INT) AS pct FROM p JOIN u ON p.pct = u.pct WHERE p.val >= 1.5 * u.usual OR p.val * 1.5 <= u.usual""",
+    "p6_within": """SELECT sample, CAST(c.pct AS INT) AS pct, COUNT(*) AS n, TRUE AS inside, TRUE AS close FROM gt JOIN (SELECT 50 AS pct UNION ALL SELECT 90 UNION ALL SELECT 99) c ON TRUE
+      WHERE dp >= 0 AND NOT isnan(dp) AND NOT isinf(dp) AND dp = floor(dp) GROUP BY sample, c.pct""",
     "p8_found": r"""WITH
       dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
       iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM eval_items),
