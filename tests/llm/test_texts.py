@@ -154,10 +154,25 @@ def test_leaks_cases(spark):
     items = [(10, item), (11, "too short to leak"), (12, None), (13, ""), (14, item), (15, 'one two'), (15, item), (15, 'x ' * 20)]
     got = searched(spark, docs, items)
     assert got == leaked(docs[:8], items) | {(9, 10), (9, 14), (9, 15)} and (1, 10) in got and (2, 10) not in got
-    assert searched(spark, docs, items, block_chars=1) == got
+    assert searched(spark, docs, items, block_chars=1) == got == searched(spark, docs * 2, items) == searched(spark, docs * 2, items * 2, block_chars=1)
     assert searched(spark, [], items) == set() == searched(spark, docs, [])
 
 
+def test_hashes_do_not_depend_on_the_place():
+    powers = leaks.Powers()
+    a, b = leaks.normalized("one two three four five"), leaks.normalized("zero; ONE two three four five six")
+    assert list(powers.pieces(a, 3)) == list(powers.pieces(b, 3))[1:4] and len(powers.pieces(a, 6)) == 0 == len(powers.pieces(" ", 1))
+    words = [f"w{i % 97}x{i}" for i in range(20_000)]
+    assert len(set(powers.pieces(leaks.normalized(" ".join(words)), 4).tolist())) == 19_997
+
+
+def test_leaks_of_many_pieces_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "HASHED_PIECES", 2)
+    items = [(i, " ".join(f"k{i}v{j}" for j in range(20))) for i in range(6)]
+    docs = [(d, " ".join(f"k{d}v{j}" for j in range(3, 17))) for d in range(8)]
+    assert searched(spark, docs, items, block_chars=1) == {(i, i) for i in range(6)}
+
+
 @pytest.mark.parametrize("edits", [0, 1, 2])
 def test_leaks_random(spark, edits):
     rng = random.Random(edits)
@@ -172,7 +187,7 @@ def test_leaks_random(spark, edits):
         for _ in range(rng.randint(0, 3)):
             part[rng.randrange(len(part))] = "zz"
         docs.append((d, " ".join(body[:20] + part + body[20:])))
-    assert searched(spark, docs, items, edits=edits) == leaked(docs, items, edits)
+    assert searched(spark, docs, items, edits=edits) == leaked(docs, items, edits) == searched(spark, docs, items, edits=edits, block_chars=1)
 
 
 # ---- personal information

@@ -9,21 +9,29 @@ edit distance over words.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varilake.session import materialize
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 12
 """Words that a document and an item must have in common."""
 BLOCK_CHARS = 8_000_000
-"""Characters of items searched for in one pass; more items take more passes."""
+"""Characters of items that one automaton holds; of more, the pieces are hashed."""
+HASHED_PIECES = 16_000_000
+"""Hashed pieces, of eight bytes each, that are sent to the tasks at a time; more take more passes over the documents."""
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -130,35 +138,125 @@ def _next_words(body: str, end: int, n: int) -> list[str]:
     return body[end:at].split()
 
 
-def blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, read one partition at a time, in blocks of bounded size."""
-    block, size = [], 0
-    for row in items.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).orderBy(key).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+class Powers:
+    """Powers of the base of the hash and of its inverse modulo 2^64, as far as texts have needed them."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, _INVERSE))
+
+    def pieces(self, body: str, piece: int) -> np.ndarray:
+        """A hash for every run of `piece` words of a normalized text, with the blanks around it, by its first word.
+
+        The letters times the powers of the base are added up once; a run's sum times the inverse of its first power does
+        not depend on where the run stands.
+        """
+        letters = np.frombuffer(body.encode("ascii"), np.uint8)
+        blanks = np.flatnonzero(letters == 32)
+        if len(blanks) <= piece:
+            return np.zeros(0, np.uint64)
+        self.upto(len(letters))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * self.up[: len(letters)], dtype=np.uint64)])
+            first, last = blanks[:-piece], blanks[piece:]
+            return (sums[last + 1] - sums[first]) * self.down[first]
+
+
+def _hashed_pieces(items: DataFrame, key: str, text: str, window: int, edits: int) -> DataFrame:
+    """(h, item, context, off): every piece of every item, the words of its passages, and where in them it begins."""
+    piece = piece_words(window, edits)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            rows = []
+            for item, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                body = normalized(t)
+                words = body.split()
+                if len(words) < window:
+                    continue
+                hashes = powers.pieces(body, piece).view(np.int64)
+                for at in range(0, len(words) - piece + 1, piece):
+                    low = max(0, at + piece - window)
+                    rows.append((int(hashes[at]), item, " ".join(words[low : at + window]), at - low))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32()))], names=["h", "item", "context", "off"])
+
+    return items.select(F.col(key).cast("bigint"), text).mapInArrow(cut, "h BIGINT, item BIGINT, context STRING, off INT")
+
+
+def _hashed_leaks(rows: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, window: int, edits: int) -> DataFrame:
+    """leaks for many items: documents' runs of words are looked up among the hashes of all pieces in one pass; only hits are
+    shuffled, to meet the items that hold the piece, and verified."""
+    piece, kind = piece_words(window, edits), rows.schema[doc_key].dataType.simpleString()
+    reach = window - piece + edits
+    pieces = materialize(_hashed_pieces(items, item_key, text, window, edits))
+    hashes = pieces.select("h").distinct()
+    passes = max(1, math.ceil(hashes.count() / HASHED_PIECES))
+    hits = None
+    for k in range(passes):
+        part = hashes.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == k).toArrow()["h"].to_numpy().view(np.uint64)
+        sent = rows.sparkSession.sparkContext.broadcast(np.sort(part))
+
+        def look(batches: Iterable[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            powers, known = Powers(), sent.value
+            for batch in batches:
+                out = []
+                for i, t in enumerate(batch[1].to_pylist()):
+                    body = normalized(t)
+                    found = powers.pieces(body, piece)
+                    at = np.searchsorted(known, found)
+                    at[at == len(known)] = 0
+                    places = np.flatnonzero(known[at] == found) if len(known) else np.zeros(0, np.int64)
+                    if len(places):
+                        words = body.split()
+                        near = {(int(h), " ".join(words[max(0, p - reach) : p + piece + reach])) for p, h in zip(places.tolist(), found[places].view(np.int64), strict=True)}
+                        out += [(i, h, around) for h, around in sorted(near)]
+                yield pa.RecordBatch.from_arrays([batch[0].take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], names=["doc", "h", "around"])
+
+        found = rows.mapInArrow(look, f"doc {kind}, h BIGINT, around STRING")
+        hits = found if hits is None else hits.unionByName(found)
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, ids, best = [], [], []
+            for i, (item, around, context, off) in enumerate(zip(*(batch[j].to_pylist() for j in range(1, 5)), strict=True)):
+                near, words = around.split(), context.split()
+                d = min((myers(words[a : a + window], near) for a in range(min(off, len(words) - window) + 1)), default=window)
+                if d <= edits:
+                    docs.append(i)
+                    ids.append(item)
+                    best.append(d)
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(docs, pa.int64())), pa.array(ids, pa.int64()), pa.array(best, pa.int32())], names=["doc", "item", "edits"])
+
+    pairs = hits.join(pieces, "h").select("doc", "item", "around", "context", "off").mapInArrow(check, f"doc {kind}, item BIGINT, edits INT")
+    return pairs.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "edits")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, edits: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_key, item_key, edits): documents that hold a passage of an item within the budget of word edits.
 
-    The items are a stated query set: they are sent to all tasks in blocks of at most block_chars characters, one pass
-    over the documents per block, so what a task holds is bounded whatever their number. No shuffle. Words are runs of
-    ASCII letters and digits, case and all between them ignored. Items of fewer than `window` words have no passage.
-    Null texts hold nothing; equal texts and repeated rows are each reported; texts are searched whole. Item keys are
-    integers; an item key that repeats stands for all of its texts. Empty tables give no row.
+    The items are a stated query set. Up to block_chars characters of them are sent to all tasks as one automaton.
+    Of more, the hashes of their pieces are sent, and only the surroundings of hits are shuffled. Either way
+    the documents are read once (more than HASHED_PIECES pieces: once for each so many), and what a task holds is
+    bounded whatever the number of items. Words are runs of ASCII letters and digits, case and all between them
+    ignored. Items of fewer than `window` words have no passage. Null texts hold nothing; equal texts under different
+    keys are each reported, a pair of keys once; texts are searched whole. Item keys are integers; an item
+    key that repeats stands for all of its texts. Empty tables give no row.
     """
     kind, item_kind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"{doc_key} {kind}, {item_key} {item_kind}, edits INT"
     rows = docs.select(doc_key, text).where(F.col(text).isNotNull())
-    out = docs.sparkSession.createDataFrame([], schema)
-    for k, block in enumerate(blocks(items, item_key, text, block_chars)):
+    given = items.select(item_key, text).where(F.col(text).isNotNull() & F.col(item_key).isNotNull())
+    if (given.agg(F.sum(F.length(text))).first()[0] or 0) > block_chars:
+        found = _hashed_leaks(rows, given, doc_key, item_key, text, window, edits)
+    else:
+        block = [(r[0], r[1]) for r in given.orderBy(item_key).collect()]  # of at most block_chars characters
 
-        def search(batches: Iterable[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(block, window, edits)
             for batch in batches:
                 hits = [(d, i, e) for d, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) for i, e in searcher.search(t).items()]
@@ -166,6 +264,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
                 yield pa.RecordBatch.from_arrays([pa.array(doc, batch[0].type), pa.array(item, pa.int64()), pa.array(edit, pa.int32())], names=[doc_key, item_key, "edits"])
 
         found = rows.mapInArrow(search, f"{doc_key} {kind}, {item_key} BIGINT, edits INT")
-        found = found.withColumn(item_key, F.col(item_key).cast(item_kind))
-        out = found if k == 0 else out.unionByName(found)
-    return out
+    # several hits of one document and item are one pair; only hits are shuffled
+    pairs = found.groupBy(doc_key, item_key).agg(F.min("edits").alias("edits"))
+    return pairs.withColumn(item_key, F.col(item_key).cast(item_kind))
