@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -64,7 +65,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())).delete(path, True)
     except Exception as e:  # the JVM is gone: nothing more can be done from here
-        print(f"{folder} was not deleted: {type(e).__name__}")
+        print(f"{folder} was not deleted: {type(e).__name__}", file=sys.stderr)
     _WRITTEN.discard(folder)
 
 
